@@ -13,11 +13,10 @@ each place where its first word stands, so a licence is found inside any text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .arrow_map import Mapper, map_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -186,14 +185,11 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     phrases alone and nears 1 with the number of mandatory words that a template matched.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pd.DataFrame([scan(t) for t in pdf["text"]], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            for c in ("first_word", "last_word"):
-                rows[c] = rows[c].astype("Int64")
-            rows.insert(0, "doc_id", pdf["doc_id"].array)
-            yield rows
-
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, {SCHEMA}").withColumnRenamed("doc_id", id_col)
+    def setup() -> Mapper:
+        def mapper(texts: list[str | None]) -> tuple[None, list]:
+            found = [scan(t) for t in texts]
+            return None, [[f[c.split()[0]] for f in found] for c in SCHEMA.split(", ")]
+
+        return mapper
+
+    return map_texts(df, id_col, text_col, setup, SCHEMA)

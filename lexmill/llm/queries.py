@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid
+from .decontam import find_leaks
 from .licenses import license_scan
+from .media import media_columns
+from .packing import pack_documents
+from .pii import private_spans
 from .runtime import table
+from .secret_scan import secrets
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +39,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(F.coalesce(langid.fold("doc_id", 4) != 2, F.lit(True))))
+    held_out = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "n_spans")
+
+
+@query("op9_pack")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), size=1024)
+
+
+@query("op10_media")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))

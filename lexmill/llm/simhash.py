@@ -17,15 +17,14 @@ are within 2h bits if and only if some point lies within h bits of both) and lin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_map import Mapper, map_texts
 from .runtime import checkpointed, staged
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -57,13 +56,10 @@ def simhash(text: str | None, size: int = 3) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp): the 64 bits as a signed long.  A null or blank text has fingerprint zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.fromiter((simhash(t, size) for t in pdf["text"]), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "fp": fps})
+    def setup() -> Mapper:
+        return lambda texts: (None, [np.fromiter((simhash(t, size) for t in texts), np.uint64, len(texts)).view(np.int64)])
 
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_texts(df, id_col, text_col, setup, "fp long")
 
 
 def segments(n_segments: int, radius: int) -> list[tuple[int, int, int]]:
