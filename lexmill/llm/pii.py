@@ -205,8 +205,9 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
-    """``df`` with every private span masked in ``text_col``; all other columns as they are.
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **limits: float) -> DataFrame:
+    """``df`` with every private span masked in ``text_col``; all other columns as they are,
+    but for ``length_col``, which then holds the masked text's length.
 
     Rows without any base span are not joined to anything.  Null texts stay null.
     """
@@ -216,5 +217,6 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
     clean = found.where(F.size("spans") == 0).select("_row.*")
     dirty = _both(found.where(F.size("spans") > 0), terms)
     everything = F.array_sort(F.concat("spans", F.coalesce("terms", F.filter("spans", lambda x: F.lit(False)))))
-    kept = [masked(F.col("_row")[text_col], F.col("all")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names]
-    return clean.unionByName(dirty.select("_row", everything.alias("all")).select(*kept))
+    shown = dirty.select("_row", masked(F.col("_row")[text_col], everything).alias("_text"))
+    replaced = {text_col: F.col("_text")} | ({length_col: F.length("_text").cast(df.schema[length_col].dataType)} if length_col else {})
+    return clean.unionByName(shown.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in names]))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .decontam import find_leaks
+from .htmlcrf import extract_text
+from .lattice_lm import score
 from .licenses import license_scan
 from .media import media_columns
 from .packing import pack_documents
@@ -51,6 +53,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_html")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op6_secrets")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
@@ -64,6 +71,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "n_spans")
 
 
+@query("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold("doc_id", 5) == 1, F.lit(False))
+    # The fold goes by the id alone, so it can be told again from the result.
+    return score(docs, ~held_out).withColumn("held_out", held_out)
+
+
 @query("op9_pack")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=1024)

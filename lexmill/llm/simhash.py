@@ -20,6 +20,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,3 +152,103 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = prints.join(classes, "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: the fingerprint finds candidates, a sketch of five-word shingles verifies.
+
+SKETCH = 128
+
+
+def _sketch(words: list[bytes], size: int) -> np.ndarray:
+    """One-permutation minima: the least 16-bit rank of the shingle hashes in each of SKETCH
+    slots, -1 for an empty slot.  Equal slots among those in use estimate Jaccard similarity."""
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
+    h = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams))
+    rank = (h >> np.uint64(17)).astype(np.int64)  # 47 bits to tell apart, of which 15 are kept
+    least = np.full(SKETCH, np.iinfo(np.int64).max)
+    np.minimum.at(least, (h % np.uint64(SKETCH)).astype(np.int64), rank)
+    return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7FFF).astype(np.int16)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, fp, same, sketch): SimHash of the distinct words, a digest of the word sequence
+    and the shingle sketch.  Copies have equal digests."""
+
+    def setup() -> Mapper:
+        def one(text: str | None) -> tuple[int, int, bytes]:
+            words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
+            ones = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+            fp = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+            return fp, xxhash.xxh3_64_intdigest(b" ".join(words)), _sketch(words, size).tobytes()
+
+        def mapper(texts: list[str | None]) -> tuple[None, list]:
+            found = [one(t) for t in texts]
+            longs = [np.fromiter((f[i] for f in found), np.uint64, len(found)).view(np.int64) for i in (0, 1)]
+            return None, [*longs, [f[2] for f in found]]
+
+        return mapper
+
+    return map_texts(df, id_col, text_col, setup, "fp long, same long, sketch binary")
+
+
+def candidates(nodes: DataFrame, radius: int, n_segments: int, heavy: int) -> DataFrame:
+    """(a, b), a > b: nodes whose fingerprints are within ``radius`` bits, by multi-index hashing.
+
+    A table key of over ``heavy`` nodes holds two of them, its least and its greatest: each
+    node then meets those of all its keys instead of every member, which is enough to join a
+    cluster of near copies and keeps the rows linear.
+    """
+    plan = [(i, *s) for i, s in enumerate(segments(n_segments, radius)) if s[2] >= 0]
+    parts = [F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << bits) - 1)).alias("val")) for i, lo, bits, _ in plan]
+    keyed = nodes.select("node", "fp", F.explode(F.array(*parts)).alias("k")).select("node", "fp", "k.seg", "k.val")
+    sizes = keyed.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("low"), F.max(F.struct("node", "fp")).alias("high"))
+    crowded = sizes.where(F.col("n") > heavy)
+    ends = crowded.select("seg", "val", F.explode(F.array("low", "high")).alias("e")).select("seg", "val", F.col("e.node").alias("other"), F.col("e.fp").alias("other_fp"))
+    light = keyed.join(crowded.select("seg", "val"), ["seg", "val"], "left_anti").select("seg", "val", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
+    masks = F.create_map(*[x for i, _, bits, r in plan for x in (F.lit(i), F.lit(ball(bits, r)))])
+    probes = keyed.select("node", "fp", "seg", F.explode(F.transform(masks[F.col("seg")], lambda m: F.col("val").bitwiseXOR(m))).alias("val"))
+    met = probes.join(light.unionByName(ends), ["seg", "val"]).where("node <> other").where(distance(F.col("fp"), F.col("other_fp")) <= radius)
+    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches estimate at least ``similarity``."""
+    one = nodes.select("node", "sketch")
+    both = pairs.join(one.withColumnRenamed("node", "a").withColumnRenamed("sketch", "x"), "a").join(one.withColumnRenamed("node", "b").withColumnRenamed("sketch", "y"), "b")
+
+    @F.pandas_udf("double")
+    def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
+        u, v = (np.frombuffer(b"".join(s), np.int16).reshape(-1, SKETCH) for s in (x, y))
+        used = (u >= 0) | (v >= 0)
+        return pd.Series(((u == v) & used).sum(1) / used.sum(1))
+
+    return both.where(estimate("x", "y") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def keep_representatives(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, n_segments: int = 3, heavy: int = 48
+) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id; all columns as they are.
+
+    Copies have the same words in the same order (case aside); near copies have a similarity of
+    ``similarity`` or more of their ``size``-word shingles, by a sketch, and are looked for among
+    texts whose distinct words' fingerprints are within ``radius`` bits.  Groups are closed
+    transitively.  Null and blank texts are copies of each other.  A row with a null id stays
+    unless a copy with an id does; of wholly repeated rows one stays.
+    """
+    keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col).alias("_k2")]  # null-safe name of a row
+    row = df.select(F.struct(F.col(id_col).alias("id"), *keys).alias("row"), F.col(text_col).alias("text"))
+    found = staged(sketches(row, "row", "text", size).select("row.*", "fp", "same", "sketch"), "sketches")
+    chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")).alias("first")
+    nodes = found.groupBy("same").agg(chosen, F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = staged(nodes.select(F.col("first.id").alias("node"), "first._k1", "first._k2", "fp", "sketch"), "sketch-nodes")
+    named = nodes.where("node IS NOT NULL")
+    edges = similar(candidates(named.select("node", "fp"), radius, n_segments, heavy), named, similarity)
+    dropped = components(edges).where("node <> root").select("node")
+    kept = staged(nodes.join(dropped, "node", "left_anti").select("_k1", "_k2"), "kept")
+    rows = df.select("*", *keys).join(kept, ["_k1", "_k2"], "left_semi")
+    repeated = found.join(kept, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").count().where("count > 1")
+    if not repeated.isEmpty():  # only wholly repeated rows need another look
+        rows = rows.dropDuplicates(["_k1", "_k2"])
+    return rows.select(*df.columns)
