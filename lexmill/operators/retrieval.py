@@ -1,0 +1,131 @@
+"""Hybrid retrieval: BM25 and TF-IDF cosine over an inverted index, for many queries at once.
+
+Everything joins on terms, so only pairs that share a term exist.  Statistics that involve
+all documents (means, minima over non-matching documents) come from counts, not from pairs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import SETTINGS, Settings
+from ..functions.lexical import tokens
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl) of ``docs`` (doc_id, text)."""
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    return toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf, n_terms): n_terms counts the query's distinct terms."""
+    toks = queries.select("query_id", tokens(F.col("text")).alias("t"))
+    return toks.select("query_id", F.size(F.array_distinct("t")).alias("n_terms"), F.explode("t").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.first("n_terms").alias("n_terms"))
+
+
+def scores(docs: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, doc_id, bm25, bm25_norm, cosine, coverage) of all pairs that share a term.
+
+    bm25: Okapi with a floor of epsilon times the mean idf for negative idf, clipped at 0 and
+    min-max normalised over all documents, matching or not.  cosine: sublinear TF-IDF fitted on
+    the documents and the query, so n and df count the query as well; a document's norm is its
+    norm without the query, corrected on the terms they share.
+    """
+    post = postings(docs)
+    size = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    okapi = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    smooth = F.log((2 + F.col("n")) / (1 + F.col("df"))) + 1  # n + 1 documents with the query
+    with_query = F.log((2 + F.col("n")) / (2 + F.col("df"))) + 1  # and the query holds the term
+    # One row of corpus statistics beside each term: a broadcast of a single row.
+    terms = df.crossJoin(F.broadcast(size)).select("term", "df", "n", "avgdl", okapi.alias("idf"), smooth.alias("idf0"), with_query.alias("idf1"))
+    mean_idf = terms.agg(F.avg("idf").alias("mean_idf"))
+    tf = 1 + F.log(F.col("tf").cast("double"))
+    norms = post.join(terms.select("term", "idf0"), "term").groupBy("doc_id").agg(F.sum((tf * F.col("idf0")) ** 2).alias("norm0"))
+
+    q = query_terms(queries)
+    q_idf = F.coalesce("idf1", F.log((2 + F.col("qn")) / 2) + 1)
+    q_all = q.join(terms.select("term", "idf1"), "term", "left").crossJoin(F.broadcast(size.select(F.col("n").alias("qn"))))
+    q_tf = 1 + F.log(F.col("qtf").cast("double"))
+    q_norm = q_all.groupBy("query_id").agg(F.sqrt(F.sum((q_tf * q_idf) ** 2)).alias("q_norm"))
+
+    hits = q.join(terms, "term").crossJoin(F.broadcast(mean_idf)).join(post, "term")
+    idf = F.when(F.col("idf") < 0, s.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
+    k = F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl"))
+    bm25 = F.col("qtf") * idf * (F.col("tf") * (s.bm25_k1 + 1)) / k
+    pairs = hits.groupBy("query_id", "doc_id").agg(
+        F.greatest(F.sum(bm25), F.lit(0.0)).alias("bm25"),
+        F.sum(q_tf * F.col("idf1") * tf * F.col("idf1")).alias("dot"),
+        F.sum((tf * F.col("idf1")) ** 2 - (tf * F.col("idf0")) ** 2).alias("shift"),
+        (F.count("*") / F.first("n_terms")).alias("coverage"),
+        F.first("n").alias("n"),
+    )
+    every = Window.partitionBy("query_id")
+    cos = F.col("dot") / (F.sqrt(F.col("norm0") + F.col("shift")) * F.col("q_norm"))
+    low = F.when(F.count("*").over(every) < F.col("n"), 0.0).otherwise(F.min("bm25").over(every))
+    high = F.max("bm25").over(every)
+    norm = F.when(high - low < 1e-12, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((F.col("bm25") - low) / (high - low))
+    return pairs.join(norms, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", "bm25", norm.alias("bm25_norm"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("cosine"), "coverage")
+
+
+def relevance(alpha: float | Column) -> Column:
+    """Hybrid relevance; rounded to 9 places so that equal documents tie whatever the order of sums."""
+    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(alpha) if isinstance(alpha, float) else alpha))
+    return F.round(a * F.col("bm25_norm") + (1 - a) * F.col("cosine"), 9)
+
+
+def candidates(pairs: DataFrame, s: Settings = SETTINGS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Pairs of positive relevance, at least min_relevance_ratio of the query's best."""
+    best = F.max("relevance").over(Window.partitionBy(*by))
+    found = pairs.where("relevance > 0").withColumn("best", best)
+    return found.where(F.col("relevance") >= s.min_relevance_ratio * F.col("best")).drop("best")
+
+
+def ranked(pairs: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def retrieve_knowledge(docs: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    pairs = scores(docs, queries, s).withColumn("relevance", relevance(s.alpha))
+    return ranked(candidates(pairs, s), s.top_k_knowledge, F.desc("relevance"), F.col("doc_id"))
+
+
+def normalised_importance(docs: DataFrame, importance: DataFrame) -> DataFrame:
+    """(doc_id, importance_norm): missing counts as 0, min-max over all documents."""
+    full = docs.select("doc_id").join(importance, "doc_id", "left").select("doc_id", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    span = full.agg(F.min("importance").alias("lo"), F.max("importance").alias("hi"))
+    flat = F.when(F.col("hi") > 0, 1.0).otherwise(0.0)
+    norm = F.when(F.col("hi") - F.col("lo") < 1e-12, flat).otherwise((F.col("importance") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return full.crossJoin(F.broadcast(span)).select("doc_id", norm.alias("importance_norm"))
+
+
+def retrieve_exam(docs: DataFrame, queries: DataFrame, importance: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """A shortlist by relevance, re-ranked by a blend with the documents' importance."""
+    pairs = scores(docs, queries, s).withColumn("relevance", relevance(s.alpha))
+    pool = ranked(candidates(pairs, s), s.top_k_exam * s.exam_candidate_multiplier, F.desc("relevance"), F.col("doc_id")).drop("rank")
+    final = F.round(s.exam_relevance_weight * F.col("relevance") + s.exam_importance_weight * F.col("importance_norm"), 9)
+    scored = pool.join(normalised_importance(docs, importance), "doc_id").withColumn("final_score", final)
+    return ranked(scored, s.top_k_exam, F.desc("final_score"), F.desc("relevance"), F.col("doc_id"))
+
+
+def sufficiency(selected: DataFrame, queries: DataFrame, real_vectors: bool = False, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, n_selected, max_cosine, coverage, sufficient) of every query."""
+    best = selected.groupBy("query_id").agg(F.count("*").alias("n_selected"), F.max("cosine").alias("max_cosine"), F.max("coverage").alias("coverage"))
+    full = queries.select("query_id").join(best, "query_id", "left").fillna(0, ["n_selected"]).fillna(0.0, ["max_cosine", "coverage"])
+    close = (F.lit(real_vectors) & (F.col("max_cosine") >= s.sufficient_cosine)) | (F.col("coverage") >= s.sufficient_coverage)
+    return full.withColumn("sufficient", (F.col("n_selected") > 0) & close)
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): a stated query set against all vectors.
+
+    The query side is a few vectors, broadcast by the planner only if its size allows.
+    """
+    from ..functions.lexical import cosine
+
+    pairs = vectors.crossJoin(queries).where("vec_id <> query_id")
+    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("vector"), F.col("query_vector")), 9).alias("cosine"))
+    return ranked(scored, k, F.desc("cosine"), F.col("vec_id"))
