@@ -1,6 +1,6 @@
 """Named queries.  Importing this package fills the registry."""
 
-from . import retrieval  # noqa: F401
+from . import retrieval, text  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
