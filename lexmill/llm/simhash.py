@@ -192,42 +192,93 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return map_texts(df, id_col, text_col, setup, "fp long, same long, sketch binary")
 
 
-def candidates(nodes: DataFrame, radius: int, n_segments: int, heavy: int) -> DataFrame:
-    """(a, b), a > b: nodes whose fingerprints are within ``radius`` bits, by multi-index hashing.
+#: Most members of either side that one task compares at a time for a crowded key.
+BLOCK = 256
 
-    A table key of over ``heavy`` nodes holds two of them, its least and its greatest: each
-    node then meets those of all its keys instead of every member, which is enough to join a
-    cluster of near copies and keeps the rows linear.
-    """
+
+def _keyed(nodes: DataFrame, radius: int, n_segments: int, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """Table entries and probes (node, fp, seg, val, carried) of multi-index hashing."""
     plan = [(i, *s) for i, s in enumerate(segments(n_segments, radius)) if s[2] >= 0]
     parts = [F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << bits) - 1)).alias("val")) for i, lo, bits, _ in plan]
-    keyed = nodes.select("node", "fp", F.explode(F.array(*parts)).alias("k")).select("node", "fp", "k.seg", "k.val")
-    sizes = keyed.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("low"), F.max(F.struct("node", "fp")).alias("high"))
-    crowded = sizes.where(F.col("n") > heavy)
-    ends = crowded.select("seg", "val", F.explode(F.array("low", "high")).alias("e")).select("seg", "val", F.col("e.node").alias("other"), F.col("e.fp").alias("other_fp"))
-    light = keyed.join(crowded.select("seg", "val"), ["seg", "val"], "left_anti").select("seg", "val", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
+    entries = nodes.select("node", "fp", *carried, F.explode(F.array(*parts)).alias("k")).select("node", "fp", *carried, "k.seg", "k.val")
     masks = F.create_map(*[x for i, _, bits, r in plan for x in (F.lit(i), F.lit(ball(bits, r)))])
-    probes = keyed.select("node", "fp", "seg", F.explode(F.transform(masks[F.col("seg")], lambda m: F.col("val").bitwiseXOR(m))).alias("val"))
-    met = probes.join(light.unionByName(ends), ["seg", "val"]).where("node <> other").where(distance(F.col("fp"), F.col("other_fp")) <= radius)
-    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    probes = entries.select("node", "fp", *carried, "seg", F.explode(F.transform(masks[F.col("seg")], lambda m: F.col("val").bitwiseXOR(m))).alias("val"))
+    return entries, probes
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity by sketches, row by row."""
+    used = (x >= 0) | (y >= 0)
+    return ((x == y) & used).sum(-1) / used.sum(-1)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches estimate at least ``similarity``."""
+def light_edges(entries: DataFrame, probes: DataFrame, nodes: DataFrame, crowded: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Verified pairs of the keys that few nodes share."""
+    few = entries.join(crowded, ["seg", "val"], "left_anti").select("seg", "val", F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    met = probes.join(few, ["seg", "val"]).where("node > b").where(distance(F.col("fp"), F.col("b_fp")) <= radius)
+    pairs = met.select(F.col("node").alias("a"), "b").distinct()
     one = nodes.select("node", "sketch")
     both = pairs.join(one.withColumnRenamed("node", "a").withColumnRenamed("sketch", "x"), "a").join(one.withColumnRenamed("node", "b").withColumnRenamed("sketch", "y"), "b")
 
     @F.pandas_udf("double")
     def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
-        u, v = (np.frombuffer(b"".join(s), np.int16).reshape(-1, SKETCH) for s in (x, y))
-        used = (u >= 0) | (v >= 0)
-        return pd.Series(((u == v) & used).sum(1) / used.sum(1))
+        return pd.Series(_alike(*(np.frombuffer(b"".join(s), np.int16).reshape(-1, SKETCH) for s in (x, y))))
 
     return both.where(estimate("x", "y") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def crowded_edges(nodes: DataFrame, crowded: DataFrame, radius: int, n_segments: int, similarity: float) -> DataFrame:
+    """The links of the keys that many nodes share, without a row for each pair.
+
+    Both sides of a key are dealt into blocks of about BLOCK; each pair of blocks meets in one
+    small group, is compared whole, and gives one edge per member to its component in the group.
+    """
+    entries, probes = _keyed(nodes, radius, n_segments, "sketch")
+    entries, probes = entries.join(crowded.select("seg", "val"), ["seg", "val"]), probes.join(crowded.select("seg", "val"), ["seg", "val"])
+    sizes = entries.groupBy("seg", "val").agg(F.ceil(F.count("*") / BLOCK).alias("eb")).join(probes.groupBy("seg", "val").agg(F.ceil(F.count("*") / BLOCK).alias("pb")), ["seg", "val"])
+
+    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        told = rows.join(sizes, ["seg", "val"])
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).alias(f"_{own}")
+        return told.select("seg", "val", "node", "fp", "sketch", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}"), F.lit(side).alias("side")).select("seg", "val", "_eb", "_pb", "side", "node", "fp", "sketch")
+
+    import pyarrow as pa
+
+    def compare(group: pa.Table) -> pa.Table:
+        side, node, fp = group.column("side").to_numpy(), group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.int16).reshape(-1, SKETCH)
+        e, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x, y = np.nonzero(np.bitwise_count(fp[e][:, None] ^ fp[p][None, :]) <= radius)
+        x, y = e[x], p[y]
+        true = np.concatenate([node[x[i : i + 65536]] != node[y[i : i + 65536]] for i in range(0, len(x), 65536)] or [np.empty(0, bool)])
+        x, y = x[true], y[true]
+        good = np.concatenate([_alike(sketch[x[i : i + 8192]], sketch[y[i : i + 8192]]) >= similarity for i in range(0, len(x), 8192)] or [np.empty(0, bool)])
+        x, y = x[good], y[good]
+        least = node.copy()  # the same node may stand on both sides; its labels meet outside
+        while True:
+            before = least.copy()
+            np.minimum.at(least, x, least[y])
+            np.minimum.at(least, y, least[x])
+            if (before == least).all():
+                break
+        moved = least < node
+        return pa.table({"src": node[moved], "dst": least[moved]})
+
+    groups = dealt(entries, "eb", "pb", 0).unionByName(dealt(probes, "pb", "eb", 1))
+    return groups.groupBy("seg", "val", "_eb", "_pb").applyInArrow(compare, "src long, dst long").distinct()
+
+
+def similar_edges(nodes: DataFrame, radius: int, n_segments: int, similarity: float, heavy: int = 16) -> DataFrame:
+    """(src, dst): edges with the same components as all pairs of ``nodes`` (node, fp, sketch) whose
+    fingerprints are within ``radius`` bits and whose sketches estimate ``similarity`` or more."""
+    entries, probes = _keyed(nodes.select("node", "fp"), radius, n_segments)
+    crowded = staged(entries.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("seg", "val"), "crowded")
+    light = light_edges(entries, probes, nodes, crowded, radius, similarity)
+    return light if crowded.isEmpty() else light.unionByName(crowded_edges(nodes, crowded, radius, n_segments, similarity))
+
+
 def keep_representatives(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, n_segments: int = 3, heavy: int = 48
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, n_segments: int = 3, heavy: int = 16
 ) -> DataFrame:
     """One row of each group of near copies, that of the smallest id; all columns as they are.
 
@@ -244,7 +295,7 @@ def keep_representatives(
     nodes = found.groupBy("same").agg(chosen, F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
     nodes = staged(nodes.select(F.col("first.id").alias("node"), "first._k1", "first._k2", "fp", "sketch"), "sketch-nodes")
     named = nodes.where("node IS NOT NULL")
-    edges = similar(candidates(named.select("node", "fp"), radius, n_segments, heavy), named, similarity)
+    edges = similar_edges(named, radius, n_segments, similarity, heavy)
     dropped = components(edges).where("node <> root").select("node")
     kept = staged(nodes.join(dropped, "node", "left_anti").select("_k1", "_k2"), "kept")
     rows = df.select("*", *keys).join(kept, ["_k1", "_k2"], "left_semi")
