@@ -126,7 +126,8 @@ def scan(df: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFra
 def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n_t): in how many rows each of ``terms`` stands.  Counts are combined before they move."""
     seen = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    return seen.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # An inner join: a semi-join would be pushed below the counts, onto every word of the corpus.
+    return seen.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
 
 
 def disclosing(df: DataFrame, beside: DataFrame, n_docs: int, text_col: str, support: int, generalise: float) -> DataFrame:
