@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import staged
+from .runtime import shuffle_width, staged
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of text in a block of documents, and words of one vectorised pass.
@@ -264,7 +264,7 @@ def score(
             logs = own.forward(part.column(0).to_pylist(), log_p.value) / LN10 + go_on
             yield pa.RecordBatch.from_arrays([part.column(0).combine_chunks(), part.column(1).combine_chunks(), pa.array(logs)], ["word", "c", "log10_p"])
 
-    blocks = max(1, -(-sizes[1] // block_bytes))
+    blocks = max(shuffle_width(spark), -(-sizes[1] // block_bytes))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def asks(part: pa.Table) -> pa.Table:
