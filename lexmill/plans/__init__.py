@@ -1,6 +1,6 @@
 """Named queries.  Importing this package fills the registry."""
 
-from . import analysis, retrieval, text  # noqa: F401
+from . import analysis, dialogue, retrieval, text  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
