@@ -1,0 +1 @@
+"""Extensions over Structured Streaming."""
