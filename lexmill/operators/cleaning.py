@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Typographic marks and what replaces them.
 MARKS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " ", "﻿": ""}
@@ -17,7 +18,7 @@ OPENS_ITEM = r"^(\s*[-*•]|\s*\d+[.)]\s|\s*[A-Z][A-Z\s]{3,}$)"
 CAPS_LINE = r"^\s*[A-Z][A-Z0-9\s:&,-]{3,}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; the one step that has no JVM function."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from .cleaning import strip
@@ -86,7 +87,7 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
-@F.pandas_udf("array<struct<first:int,last:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))
 def chunk_ranges(counts: pd.Series, target: pd.Series, overlap: pd.Series) -> pd.Series:
     """Sentence ranges of the chunks of each document, from token counts alone.
 
