@@ -30,7 +30,7 @@ def accepted_uploads(uploads: DataFrame) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): whole files, bytes that are no UTF-8 replaced."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.decode(F.col("content"), "UTF-8").alias("text"))
+    return files.select(F.col("path").alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
