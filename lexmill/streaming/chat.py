@@ -18,13 +18,14 @@ from ..operators.chat import is_follow_up
 OUTPUT = "session_id string, seq long, retrieval_query string"
 
 
-def rewritten_stream(messages: DataFrame, idle: str = "1 hour") -> DataFrame:
+def rewritten_stream(messages: DataFrame, idle: str | None = "1 hour") -> DataFrame:
     """(session_id, seq, retrieval_query) of user messages (session_id, seq, role, content).
 
     Order within a session is by seq inside each micro-batch; the last user message is the only
-    state, dropped after ``idle`` without a message.
+    state, dropped after ``idle`` without a message (None: never, for sessions known to be few;
+    a stream with a timeout also runs batches without input).
     """
-    limit = int(pd.Timedelta(idle).total_seconds() * 1000)
+    limit = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,11 +42,12 @@ def rewritten_stream(messages: DataFrame, idle: str = "1 hour") -> DataFrame:
             last = now
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(limit)
+            if limit:
+                state.setTimeoutDuration(limit)
         yield pd.DataFrame(out, columns=["session_id", "seq", "retrieval_query"])
 
     told = messages.select("session_id", "seq", "role", F.coalesce("content", F.lit("")).alias("content")).withColumn("follow_up", is_follow_up(F.trim("content")))
-    return told.groupBy("session_id").applyInPandasWithState(step, OUTPUT, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return told.groupBy("session_id").applyInPandasWithState(step, OUTPUT, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout if limit else GroupStateTimeout.NoTimeout)
 
 
 def weak_area_stream(scores: DataFrame, watermark: str = "1 day", window: str = "7 days") -> DataFrame:

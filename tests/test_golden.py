@@ -167,6 +167,9 @@ def test_stream_rewrites_across_batches(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([("s", 1, "user", "What is osmosis?"), ("s", 2, "assistant", "Water."), ("s", 3, "user", "why?")], "session_id string, seq long, role string, content string").coalesce(1).write.parquet(str(source))
     rows = spark.readStream.schema("session_id string, seq long, role string, content string").parquet(str(source))
-    q = rewritten_stream(rows).writeStream.format("memory").queryName("rewrites").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)  # a processing-time timeout never runs out of batches otherwise
+    q = rewritten_stream(rows, idle=None).writeStream.format("memory").queryName("rewrites").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
     assert [r.retrieval_query for r in spark.table("rewrites").orderBy("seq").collect()] == ["What is osmosis?", "What is osmosis? why?"]
