@@ -16,13 +16,15 @@ are within 2h bits if and only if some point lies within h bits of both) and lin
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_map import Mapper, map_texts
@@ -154,150 +156,137 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: the fingerprint finds candidates, a sketch of five-word shingles verifies.
+# Near copies by similarity: prefixes of the shingle sets find every candidate, the whole sets decide.
 
-SKETCH = 128
+#: One row in SAMPLE is read for the common shingles, of which at most COMMON are told to the tasks.
+SAMPLE = 8
+COMMON = 200_000
 
 
-def _sketch(words: list[bytes], size: int) -> np.ndarray:
-    """One-permutation minima: the least 16-bit rank of the shingle hashes in each of SKETCH
-    slots, -1 for an empty slot.  Equal slots among those in use estimate Jaccard similarity."""
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
-    h = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams))
-    rank = (h >> np.uint64(17)).astype(np.int64)  # 47 bits to tell apart, of which 15 are kept
-    least = np.full(SKETCH, np.iinfo(np.int64).max)
-    np.minimum.at(least, (h % np.uint64(SKETCH)).astype(np.int64), rank)
-    return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7FFF).astype(np.int16)
-
-
-def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, fp, same, sketch): SimHash of the distinct words, a digest of the word sequence
-    and the shingle sketch.  Copies have equal digests."""
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, same, grams): a digest of the word sequence and the sorted distinct 64-bit hashes of
+    the ``size``-word shingles.  Copies have equal digests."""
 
     def setup() -> Mapper:
-        def one(text: str | None) -> tuple[int, int, bytes]:
+        def one(text: str | None) -> tuple[int, bytes]:
             words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
-            ones = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-            fp = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
-            return fp, xxhash.xxh3_64_intdigest(b" ".join(words)), _sketch(words, size).tobytes()
+            grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)).view(np.int64)
+            return xxhash.xxh3_64_intdigest(b" ".join(words)), np.unique(hashes).tobytes()
 
         def mapper(texts: list[str | None]) -> tuple[None, list]:
             found = [one(t) for t in texts]
-            longs = [np.fromiter((f[i] for f in found), np.uint64, len(found)).view(np.int64) for i in (0, 1)]
-            return None, [*longs, [f[2] for f in found]]
+            return None, [np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64), [f[1] for f in found]]
 
         return mapper
 
-    return map_texts(df, id_col, text_col, setup, "fp long, same long, sketch binary")
+    return map_texts(df, id_col, text_col, setup, "same long, grams binary")
 
 
-#: Most members of either side that one task compares at a time for a crowded key.
-BLOCK = 256
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many rows share, by a sample, with their counts.  They only move to the end
+    of the order of shingles: any order gives the same pairs, this one gives few candidates."""
 
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(lot, np.int64))], ["key"])
 
-def _keyed(nodes: DataFrame, radius: int, n_segments: int, *carried: str) -> tuple[DataFrame, DataFrame]:
-    """Table entries and probes (node, fp, seg, val, carried) of multi-index hashing."""
-    plan = [(i, *s) for i, s in enumerate(segments(n_segments, radius)) if s[2] >= 0]
-    parts = [F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << bits) - 1)).alias("val")) for i, lo, bits, _ in plan]
-    entries = nodes.select("node", "fp", *carried, F.explode(F.array(*parts)).alias("k")).select("node", "fp", *carried, "k.seg", "k.val")
-    masks = F.create_map(*[x for i, _, bits, r in plan for x in (F.lit(i), F.lit(ball(bits, r)))])
-    probes = entries.select("node", "fp", *carried, "seg", F.explode(F.transform(masks[F.col("seg")], lambda m: F.col("val").bitwiseXOR(m))).alias("val"))
-    return entries, probes
+    seen = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("grams").mapInArrow(all_of, "key long")
+    rows = seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    keys, counts = np.array([r.key for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, pos, n): the first shingles of each set of n, rare ones before common ones.  Two
+    sets of ``similarity`` or more share at least one of them."""
+    shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in batches:
+            for node, lot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = np.frombuffer(lot, np.int64)
+                weight = np.zeros(len(grams), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                    weight = np.where(keys[at] == grams, counts[at], 0)
+                n = len(grams)
+                part = grams[np.lexsort((grams, weight))][: n - math.ceil(similarity * n - 1e-9) + 1]
+                columns = [part, np.full(len(part), node), np.arange(len(part), dtype=np.int32), np.full(len(part), n, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "pos", "n"])
+
+    return sets.select("node", "grams").mapInArrow(first_of, "key long, node long, pos int, n int")
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity by sketches, row by row."""
-    used = (x >= 0) | (y >= 0)
-    return ((x == y) & used).sum(-1) / used.sum(-1)
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that share the shingle at ``pos`` can reach ``similarity`` at all."""
+    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+    most = F.least(i, j) + F.least(n - i, m - j)
+    return most * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
-def light_edges(entries: DataFrame, probes: DataFrame, nodes: DataFrame, crowded: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Verified pairs of the keys that few nodes share."""
-    few = entries.join(crowded, ["seg", "val"], "left_anti").select("seg", "val", F.col("node").alias("b"), F.col("fp").alias("b_fp"))
-    met = probes.join(few, ["seg", "val"]).where("node > b").where(distance(F.col("fp"), F.col("b_fp")) <= radius)
-    pairs = met.select(F.col("node").alias("a"), "b").distinct()
-    one = nodes.select("node", "sketch")
-    both = pairs.join(one.withColumnRenamed("node", "a").withColumnRenamed("sketch", "x"), "a").join(one.withColumnRenamed("node", "b").withColumnRenamed("sketch", "y"), "b")
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (a, b) whose whole sets have a Jaccard similarity of ``similarity`` or more."""
+    pairs = staged(pairs.distinct(), "near-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    both = pairs.join(one.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
 
-    @F.pandas_udf("double")
-    def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_alike(*(np.frombuffer(b"".join(s), np.int16).reshape(-1, SKETCH) for s in (x, y))))
+    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.int64) for v in (x, y))
+                inner = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(inner >= similarity * (len(x) + len(y) - inner) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    return both.where(estimate("x", "y") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return staged(both.select("a", "b", "x", "y").mapInArrow(jaccard, "src long, dst long"), "near-edges")
 
 
-def crowded_edges(nodes: DataFrame, crowded: DataFrame, radius: int, n_segments: int, similarity: float) -> DataFrame:
-    """The links of the keys that many nodes share, without a row for each pair.
+def similar_edges(sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams) of
+    Jaccard ``similarity`` or more.
 
-    Both sides of a key are dealt into blocks of about BLOCK; each pair of blocks meets in one
-    small group, is compared whole, and gives one edge per member to its component in the group.
+    The members of each shared key are first compared with one of them, drawn by a hash, so a
+    cluster is tied in linear steps; then all pairs that are still in different components are.
     """
-    entries, probes = _keyed(nodes, radius, n_segments, "sketch")
-    entries, probes = entries.join(crowded.select("seg", "val"), ["seg", "val"]), probes.join(crowded.select("seg", "val"), ["seg", "val"])
-    sizes = entries.groupBy("seg", "val").agg(F.ceil(F.count("*") / BLOCK).alias("eb")).join(probes.groupBy("seg", "val").agg(F.ceil(F.count("*") / BLOCK).alias("pb")), ["seg", "val"])
-
-    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        told = rows.join(sizes, ["seg", "val"])
-        mine = F.pmod(F.xxhash64("node"), F.col(own)).alias(f"_{own}")
-        return told.select("seg", "val", "node", "fp", "sketch", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}"), F.lit(side).alias("side")).select("seg", "val", "_eb", "_pb", "side", "node", "fp", "sketch")
-
-    import pyarrow as pa
-
-    def compare(group: pa.Table) -> pa.Table:
-        side, node, fp = group.column("side").to_numpy(), group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.int16).reshape(-1, SKETCH)
-        e, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        x, y = np.nonzero(np.bitwise_count(fp[e][:, None] ^ fp[p][None, :]) <= radius)
-        x, y = e[x], p[y]
-        true = np.concatenate([node[x[i : i + 65536]] != node[y[i : i + 65536]] for i in range(0, len(x), 65536)] or [np.empty(0, bool)])
-        x, y = x[true], y[true]
-        good = np.concatenate([_alike(sketch[x[i : i + 8192]], sketch[y[i : i + 8192]]) >= similarity for i in range(0, len(x), 8192)] or [np.empty(0, bool)])
-        x, y = x[good], y[good]
-        least = node.copy()  # the same node may stand on both sides; its labels meet outside
-        while True:
-            before = least.copy()
-            np.minimum.at(least, x, least[y])
-            np.minimum.at(least, y, least[x])
-            if (before == least).all():
-                break
-        moved = least < node
-        return pa.table({"src": node[moved], "dst": least[moved]})
-
-    groups = dealt(entries, "eb", "pb", 0).unionByName(dealt(probes, "pb", "eb", 1))
-    return groups.groupBy("seg", "val", "_eb", "_pb").applyInArrow(compare, "src long, dst long").distinct()
-
-
-def similar_edges(nodes: DataFrame, radius: int, n_segments: int, similarity: float, heavy: int = 16) -> DataFrame:
-    """(src, dst): edges with the same components as all pairs of ``nodes`` (node, fp, sketch) whose
-    fingerprints are within ``radius`` bits and whose sketches estimate ``similarity`` or more."""
-    entries, probes = _keyed(nodes.select("node", "fp"), radius, n_segments)
-    crowded = staged(entries.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("seg", "val"), "crowded")
-    light = light_edges(entries, probes, nodes, crowded, radius, similarity)
-    return light if crowded.isEmpty() else light.unionByName(crowded_edges(nodes, crowded, radius, n_segments, similarity))
-
-
-def keep_representatives(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, n_segments: int = 3, heavy: int = 16
-) -> DataFrame:
+    member, key = F.struct("node", "n", "pos"), Window.partitionBy("key")
+    drawn = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n", "pos")
+    told = prefixes(sets, similarity).select("key", member.alias("me"), F.min(drawn).over(key).alias("head"), F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi"))
+    members = staged(told.where("lo < hi").select("key", "me", "head").distinct(), "near-keys")
+    stars = members.where("me.node <> head.node").where(_possible("me", "head", similarity))
+    tied = _alike(stars.select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b")), sets, similarity)
+    roots = components(tied)
+    rooted = members.join(roots, F.col("me.node") == F.col("node"), "left").select("key", "me", "head", F.coalesce("root", "me.node").alias("root"))
+    rooted = rooted.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo < hi AND me.node <> head.node")
+    rooted = staged(rooted.select("key", "me", "root"), "near-open")
+    x, y = rooted, rooted.select("key", F.col("me").alias("you"), F.col("root").alias("other"))
+    rest = x.join(y, "key").where("me.node > you.node AND root <> other").where(_possible("me", "you", similarity))
+    return tied.unionByName(_alike(rest.select(F.col("me.node").alias("a"), F.col("you.node").alias("b")), sets, similarity))
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, heavy: int = 16) -> DataFrame:
     """One row of each group of near copies, that of the smallest id; all columns as they are.
 
-    Copies have the same words in the same order (case aside); near copies have a similarity of
-    ``similarity`` or more of their ``size``-word shingles, by a sketch, and are looked for among
-    texts whose distinct words' fingerprints are within ``radius`` bits.  Groups are closed
-    transitively.  Null and blank texts are copies of each other.  A row with a null id stays
-    unless a copy with an id does; of wholly repeated rows one stays.
+    Copies have the same words in the same order (case aside); near copies have a Jaccard
+    similarity of ``similarity`` or more of their ``size``-word shingles, and all of them are
+    found.  Groups are closed transitively.  Null and blank texts are copies of each other.  A
+    row with a null id stays unless a copy with an id does; of wholly repeated rows one stays.
+    ``heavy`` is accepted for callers of old and changes nothing.
     """
     keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col).alias("_k2")]  # null-safe name of a row
     row = df.select(F.struct(F.col(id_col).alias("id"), *keys).alias("row"), F.col(text_col).alias("text"))
-    found = staged(sketches(row, "row", "text", size).select("row.*", "fp", "same", "sketch"), "sketches")
-    chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")).alias("first")
-    nodes = found.groupBy("same").agg(chosen, F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
-    nodes = staged(nodes.select(F.col("first.id").alias("node"), "first._k1", "first._k2", "fp", "sketch"), "sketch-nodes")
-    named = nodes.where("node IS NOT NULL")
-    edges = similar_edges(named, radius, n_segments, similarity, heavy)
-    dropped = components(edges).where("node <> root").select("node")
-    kept = staged(nodes.join(dropped, "node", "left_anti").select("_k1", "_k2"), "kept")
+    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "grams"), "shingle-sets")
+    edges = similar_edges(found.where("id IS NOT NULL").select("node", "grams"), similarity)
+    # A node is a distinct text, not an id: texts that share an id stay apart.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")).alias("first")
+    nodes = found.groupBy("node").agg(first).join(components(edges), "node", "left")
+    kept = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = staged(kept.select("first._k1", "first._k2"), "kept")
     rows = df.select("*", *keys).join(kept, ["_k1", "_k2"], "left_semi")
     repeated = found.join(kept, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").count().where("count > 1")
     if not repeated.isEmpty():  # only wholly repeated rows need another look

@@ -136,6 +136,36 @@ def test_representatives(spark, heavy):
     assert Counter(kept)["same text here"] == 1 and "no id at all" in kept
 
 
+def brute_near_copies(texts):
+    """Pairs of different word sequences with their exact five-word Jaccard similarity, over all shared shingles."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} for w in words]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    shared = Counter((j, i) for h in holders.values() for k, i in enumerate(h) for j in h[:k])
+    return {(j, i): n / (len(sets[i]) + len(sets[j]) - n) for (j, i), n in shared.items()}
+
+
+def test_near_copies_are_all_found(spark):
+    rng, rows = random.Random(6), []
+    for c in range(30):
+        words = [f"v{rng.randint(0, 900)}" for _ in range(60 + 20 * (c % 4))]
+        for k in range(5):  # from far above 0.8 to far below, some at the very limit
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), k):
+                copy[at] = f"edit{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    similar = brute_near_copies([t for _, t in rows])
+    good = {p for p, s in similar.items() if s >= 0.8}
+    comp = brute_components(list(range(len(rows))), lambda a, b: (min(a, b), max(a, b)) in good)
+    least = {c: min(i for i, x in enumerate(comp) if x == c) for c in set(comp)}
+    assert sum(0.7 < s < 0.9 for s in similar.values()) > 20
+    out = simhash.keep_representatives(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(least.values())
+
+
 # 3 personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
