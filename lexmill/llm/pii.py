@@ -2,14 +2,15 @@
 
 The base scan finds e-mail addresses, IP addresses, payment cards and phone numbers: the
 protected entities.  The corpus then says which other terms reveal them.  With N documents,
-n(t) of them holding term t, n(e) entity e and n(t,e) having t close to e,
+n(t) of them holding term t, n(e) entity e and n(t,e) both of them anywhere in the text,
 
     PMI(t;e) = log(N n(t,e) / (n(t) n(e))),     IC(e) = -log(n(e) / N)
 
 PMI is at most IC, which it reaches if t stands nowhere but beside e: t then discloses e
-wholly.  In documents where t stands beside e it is generalised from ``generalise`` of IC
-on and removed from ``remove`` of IC on.  Pairs seen in fewer than ``support`` documents are
-no evidence: a word met once tells nothing.
+wholly.  In documents that hold e, every occurrence of t is generalised from ``generalise`` of
+IC on and removed from ``remove`` of IC on.  Pairs are judged by this ratio alone, however few
+documents hold them.  The ratio also guards common terms: for an entity in n(e) documents, a
+term in more than n(e)^g N^(1-g) of them never reaches the share g.
 """
 
 from __future__ import annotations
@@ -34,24 +35,48 @@ PATTERNS = {
 CHEAP = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}[\p{L}\p{Nd}]{2,}+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: Code points before and after an entity that count as close to it.
-WINDOW = 80
+#: Matches that are put together at a time where a text has very many.
+BLOCK = 200
 
 
-def located(text: Column, pattern: str, offset: Column | None = None) -> Column:
-    """Matches with their places, from the lengths of the matches and of the gaps between them."""
-    parts = F.zip_with(
+def _parts(text: Column, pattern: str) -> Column:
+    """The gap before each match and the match; the last has none."""
+    return F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value"))
     )
 
+
+def _placed(parts: Column) -> Column:
+    """(at, out): where the last match ends, and the matches with their places."""
+
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
         hit = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out")))
 
-    first = F.lit(0) if offset is None else offset
-    return F.aggregate(parts, F.struct(first.cast("int").alias("at"), F.array().cast(SPAN).alias("out")), add)["out"]
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add)
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Matches with their places, from the lengths of the matches and of the gaps between them."""
+    return _placed(_parts(text, pattern))["out"]
+
+
+def located_many(text: Column, pattern: str) -> Column:
+    """``located`` for thousands of matches: block by block, since arrays are copied as they grow."""
+
+    def shifted(x: Column, by: Column) -> Column:
+        return F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"))
+
+    def whole(parts: Column) -> Column:
+        last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: _placed(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK))))
+        joined = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.transform(b["out"], lambda x: shifted(x, acc["at"]))).alias("out"))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), joined)["out"]
+
+    # Bound to a variable, so that the text is matched once.
+    return F.element_at(F.transform(F.array(_parts(text, pattern)), whole), 1)
 
 
 def _digits(value: Column) -> Column:
@@ -87,20 +112,14 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(maybe, hits).otherwise(F.array().cast(SPAN))
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """Terms wholly inside the window before or after each entity, with their places."""
+def _named(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
 
-    def around(b: Column) -> Column:
-        head = F.substring(text, F.greatest(b["start"] - WINDOW, F.lit(0)) + 1, F.least(b["start"], F.lit(WINDOW)))
-        head = F.when(b["start"] > WINDOW, F.regexp_replace(head, r"^[\p{L}\p{Nd}]+", "")).otherwise(head)
-        tail = F.substring(text, b["end"] + 1, F.lit(WINDOW))
-        tail = F.when(F.length(text) > b["end"] + WINDOW, F.regexp_replace(tail, r"[\p{L}\p{Nd}]+$", "")).otherwise(tail)
-        found = F.concat(located(head, TERM, b["start"] - F.length(head)), located(tail, TERM, b["end"]))
-        free = F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        entity = F.concat(b["kind"], F.lit(":"), F.lower(b["value"]))
-        return F.transform(free, lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.flatten(F.transform(spans, around))
+def _free(text: Column, spans: Column) -> Column:
+    """(t, start, end) of all terms of the text outside its spans; t names the term."""
+    free = F.filter(located_many(text, TERM), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.transform(free, lambda t: F.struct(_named(t["value"]).alias("t"), t["start"].alias("start"), t["end"].alias("end")))
 
 
 def _tagged(order: int, kind: str) -> Column:
@@ -124,45 +143,50 @@ def scan(df: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFra
 
 
 def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_t): in how many rows each of ``terms`` stands.  Counts are combined before they move."""
-    seen = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
+    """(t, n_t): in how many rows each of ``terms`` stands.  Counts are combined before they move."""
+    found = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(TERM), F.lit(0)), _named)
     # An inner join: a semi-join would be pushed below the counts, onto every word of the corpus.
-    return seen.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    return df.select(F.explode(F.array_distinct(found)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t")
 
 
-def disclosing(df: DataFrame, beside: DataFrame, n_docs: int, text_col: str, support: int, generalise: float) -> DataFrame:
-    """(entity, term, ratio) of the pairs whose PMI is at least ``generalise`` of the entity's IC."""
-    once = beside.select("doc_id", "h", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    entities = once.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = staged(pairs, "pii-pairs")
-    counts = term_counts(df, pairs.select("term").distinct(), text_col)
+def disclosing(df: DataFrame, dirty: DataFrame, n_docs: int, text_col: str, generalise: float) -> DataFrame:
+    """(e, t, ratio) of the pairs whose PMI is at least ``generalise`` of the entity's IC.
+    ``dirty`` has the entities and the free terms of the rows with base spans."""
+    each = dirty.select(F.explode("entities").alias("e"), F.array_distinct(F.col("free.t")).alias("ts"))
+    entities = each.groupBy("e").agg(F.count("*").alias("n_e"))
+    pairs = staged(each.select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n_te")), "pii-pairs")
+    counts = staged(term_counts(df, pairs.select("t").distinct(), text_col), "pii-counts")
     n = F.lit(float(n_docs))
     pmi = F.log(n * F.col("n_te") / (F.greatest("n_t", "n_te") * F.greatest("n_e", "n_te")))
     ic = -F.log(F.col("n_e") / n)
-    found = pairs.join(counts, "term").join(entities, "entity").select("entity", "term", F.when(ic > 0, pmi / ic).alias("ratio"))
-    return found.where(F.col("ratio") >= generalise)
+    # Terms in a thousandth of all rows are few and stand in many pairs: they are broadcast, the others joined.
+    many = F.col("n_t") * 1000 >= n
+    often = F.broadcast(counts.where(many))
+    told = pairs.join(often, "t").unionByName(pairs.join(often, "t", "left_anti").join(counts.where(~many), "t"))
+    return told.join(entities, "e").select("e", "t", F.when(ic > 0, pmi / ic).alias("ratio")).where(F.col("ratio") >= generalise)
 
 
 def find_private(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.75, remove: float = 0.9, salts: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.75, remove: float = 0.9, salts: int = 16
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned, terms): ``scan`` without texts, and for rows with disclosing terms
     (doc_id, h, terms: start, order, kind, end, value).  Both are written tables."""
     base = scan(df, id_col, text_col)
-    beside = F.when(F.size("spans") > 0, _beside(F.col("text"), F.col("spans")))
-    scanned = staged(base.select("doc_id", "h", "spans", beside.alias("beside")), "pii-scan")
+    entities = F.array_distinct(F.transform("spans", lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))
+    free = F.when(F.size("spans") > 0, _free(F.col("text"), F.col("spans")))
+    scanned = staged(base.select("doc_id", "h", "spans", entities.alias("entities"), free.alias("free")), "pii-scan")
     n_docs = scanned.count()
-    near = scanned.where(F.size("spans") > 0).select("doc_id", "h", F.explode("beside").alias("b")).select("doc_id", "h", "b.*")
-    telling = disclosing(df, near, n_docs, text_col, support, generalise)
+    dirty = scanned.where(F.size("spans") > 0).select("doc_id", "h", "entities", "free")
+    telling = staged(disclosing(df, dirty, n_docs, text_col, generalise), "pii-telling")
     # One entity may hold a third of all rows: the pairs are spread over salts before the join.
     telling = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = dirty.select("doc_id", "h", F.explode("entities").alias("e"), "free").select("doc_id", "h", "e", F.explode("free").alias("f")).select("doc_id", "h", "e", "f.*")
     spread = near.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h", "start"), F.lit(salts)).cast("int"))
-    hits = spread.join(telling, ["entity", "term", "salt"]).groupBy("doc_id", "h", "start", "end").agg(F.max("ratio").alias("ratio"))
+    hits = spread.join(telling, ["e", "t", "salt"]).groupBy("doc_id", "h", "start", "end").agg(F.max("ratio").alias("ratio"))
     value = F.when(F.col("ratio") >= remove, "").otherwise("[WORD]")
     one = F.struct(F.col("start"), F.lit(4).alias("order"), F.lit("term").alias("kind"), F.col("end"), value.alias("value"))
     terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    return scanned.drop("beside"), staged(terms, "pii-terms")
+    return scanned.drop("entities", "free"), staged(terms, "pii-terms")
 
 
 def _listed(spans: Column) -> Column:

@@ -208,6 +208,21 @@ def test_terms_that_disclose(spark):
     assert pii.private_spans(edge(spark)).count() == len(EDGE) == pii.sanitise(edge(spark)).count() and pii.private_spans(empty(spark)).count() == 0
 
 
+def test_rare_terms_disclose(spark):
+    docs = [(0, "the Quibbet writes to one@corp.example.com of the dog"), (1, "a Vorpal cat phones two@corp.example.com of the dog"), (2, "a vorpal dog phones two@corp.example.com of the cat")]
+    docs += [(10 + i, "the dog and a cat of the house writes to or phones all") for i in range(40)]
+    rows = {r.doc_id: r for r in pii.private_spans(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert [rows[i].n_term for i in range(3)] == [1, 1, 1] and all(rows[10 + i].spans == "" for i in range(40))
+    assert "term:4:11" in rows[0].spans and "term:2:8" in rows[1].spans and "term:2:8" in rows[2].spans
+
+
+def test_terms_far_from_their_entity_disclose(spark):
+    far = "the dog runs and " * 600
+    docs = [(i, f"Zorblax zed@corp.example.com {far}zorblax {far}Quibbet") for i in range(3)] + [(10 + i, far) for i in range(40)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert out[0] == f" [EMAIL] {far} {far}" and out[12] == far
+
+
 # 4 decontamination
 
 
