@@ -13,6 +13,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -27,15 +29,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: A text with none of these has no assignment.
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: A base64 run, url-safe or over several lines; no key needs more lines than these.
-_B64 = re.compile(r"[A-Za-z0-9+/]{24,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+){0,400}={0,2}|[A-Za-z0-9_-]{24,}={0,2}")
+#: A base64 run, over lines that may be indented and whose breaks may be escaped; and a url-safe one.
+_B64 = re.compile(r"[A-Za-z0-9+/]{24,}(?:[\x20\t]*(?:\r?\n|\\+(?:r\\+)?n)[\x20\t]*[A-Za-z0-9+/]+)*={0,2}")
+_URL_SAFE = re.compile(r"[A-Za-z0-9_-]{24,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{40,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BREAK = re.compile(r"\r?\n|\\n")
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|\\+(?:r\\+)?n)[\x20\t]*")
 _RUN24 = re.compile(r"[A-Za-z0-9+/_-]{24}")
 _ALGORITHMS = re.compile(r"none|(?:HS|RS|ES|PS)(?:256|384|512)|EdDSA|ES256K|RSA-OAEP(?:-256)?|A(?:128|192|256)(?:KW|GCMKW)|dir|ECDH-ES.*")
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
+#: What a key can begin with.  DER begins with byte 0x30 and a length; SSH blobs with a key type or the magic.
+_HEADS = [base64.b64encode(x).decode()[: len(x) * 8 // 6] for x in (_OPENSSH_MAGIC, *(len(t).to_bytes(4, "big") + t for t in _SSH_TYPES))]
+_DER_START, _SSH_START = re.compile("M[A-I]"), re.compile("|".join(map(re.escape, _HEADS)))
+_HEX_START = re.compile("(?=30[0-8])")
 #: Deepest nesting that a key is parsed to.
 _DEPTH = 12
 
@@ -102,7 +109,7 @@ def is_ssh_key(data: bytes) -> bool:
 
 
 def _unbase64(run: str) -> bytes | None:
-    run = re.sub(r"\\n|[\r\n=]", "", run)
+    run = run.rstrip("=")
     try:
         return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -132,26 +139,101 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _der_size(head: bytes) -> int:
+    """Bytes of the sequence that begins with ``head``, its header included; 0 if none can."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return 0
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+
+
+def _ssh_sizes(data: bytes) -> set[int]:
+    """Where the length-prefixed fields of a blob end."""
+    private = data.startswith(_OPENSSH_MAGIC)
+    at, k, out = len(_OPENSSH_MAGIC) if private else 0, 0, set()
+    while at + 4 <= len(data):
+        size = 0 if private and k == 3 else int.from_bytes(data[at : at + 4], "big")
+        at, k = at + 4 + size, k + 1
+        out.add(at)
+    return out
+
+
+def _keys(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the keys in a run, which may begin and end anywhere in it."""
+    breaks = [m.span() for m in _BREAK.finditer(run)]
+    edges = zip([0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(run.rstrip("="))])
+    lines = [(a, run[a:b]) for a, b in edges if a < b]
+    # The run without its breaks, and where each line of it begins in either.
+    packed, starts = "".join(line for _, line in lines), [0, *accumulate(len(line) for _, line in lines)]
+
+    def place(i: int) -> int:
+        k = bisect_right(starts, i, 0, len(lines)) - 1
+        return lines[k][0] + i - starts[k]
+
+    def close(i: int) -> int:
+        """The place after ``i`` characters, with the padding that follows."""
+        end = place(i - 1) + 1
+        return end + len(run[end : end + 2]) - len(run[end : end + 2].lstrip("="))
+
+    out, done = [], 0
+    for at, ssh in sorted([(m.start(), False) for m in _DER_START.finditer(packed)] + [(m.start(), True) for m in _SSH_START.finditer(packed)]):
+        if at < done:
+            continue
+        if not ssh:
+            size = _der_size(_unbase64(packed[at : at + 8]) or b"")
+            width = -(-size * 8 // 6)
+            if size < 16 or width > len(packed) - at:
+                continue
+            data = (_unbase64(packed[at : at + width]) or b"")[:size]
+            if (whole := _der(data, 0, len(data))) is None or whole[1] != size:
+                continue
+            done = at + width  # what lies in another structure is no key of its own
+            if is_der_key(data):
+                out.append((place(at), 4, close(done)))
+            continue
+        sizes = _ssh_sizes(_unbase64(packed[at : len(packed) - ((len(packed) - at) % 4 == 1)]) or b"")
+        # Prose may follow on the next line: the most lines whose structure holds count.
+        for end in reversed(starts):
+            if end > at and (end - at) * 6 // 8 in sizes and is_ssh_key(_unbase64(packed[at:end]) or b""):
+                out.append((place(at), 5, close(end)))
+                done = end
+                break
+    return out
+
+
+def _hex_keys(run: str) -> list[tuple[int, int, int]]:
+    out, done = [], 0
+    for at in (m.start() for m in _HEX_START.finditer(run)):
+        if at < done or at + 12 > len(run):
+            continue
+        size = _der_size(bytes.fromhex(run[at : at + 12]))
+        if size < 16 or at + 2 * size > len(run):
+            continue
+        data = bytes.fromhex(run[at : at + 2 * size])
+        if (whole := _der(data, 0, size)) is None or whole[1] != size:
+            continue
+        done = at + 2 * size
+        if is_der_key(data):
+            out.append((at, 4, done))
+    return out
+
+
 def structural_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates whose decoded structure holds."""
     out = []
     if "eyJ" in text:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_token(m[0])]
     if _RUN24.search(text):
-        for m in _B64.finditer(text):
-            # DER begins with byte 0x30, so its base64 with "M"; SSH blobs with "AAAA" or "b3Bl".
-            if m[0][0] != "M" and m[0][:4] not in ("AAAA", "b3Bl"):
-                continue
-            # Prose may follow on the next line: the most lines whose structure holds count.
-            ends = [m.end(), *(m.start() + x.start() for x in reversed(list(_BREAK.finditer(m[0]))))]
-            for end in ends:
-                data = _unbase64(text[m.start() : end]) or b""
-                if kind := 4 if is_der_key(data) else 5 if is_ssh_key(data) else 0:
-                    out.append((m.start(), kind, end))
-                    break
-        for m in _ANY_HEX.finditer(text):
-            if len(m[0]) % 2 == 0 and m[0][:2] == "30" and is_der_key(bytes.fromhex(m[0])):
-                out.append((m.start(), 4, m.end()))
+        runs = [*_B64.finditer(text), *(m for m in _URL_SAFE.finditer(text) if "-" in m[0] or "_" in m[0])]
+        found = {(m.start() + a, kind, m.start() + b) for m in runs for a, kind, b in _keys(m[0])}
+        found |= {(m.start() + a, kind, m.start() + b) for m in _ANY_HEX.finditer(text) for a, kind, b in _hex_keys(m[0])}
+        ends = {}
+        for a, kind, b in sorted(found, key=lambda x: (x[0], -x[2])):
+            if a >= ends.get(kind, 0):  # one key may be met as two runs
+                out.append((a, kind, b))
+                ends[kind] = b
     return out
 
 

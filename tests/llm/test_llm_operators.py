@@ -300,6 +300,31 @@ def test_secrets(spark):
     assert secret_scan.secrets(edge(spark)).count() == len(EDGE) and secret_scan.secrets(empty(spark)).count() == 0
 
 
+def test_keys_wherever_they_begin():
+    def tlv(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    numbers = b"".join(tlv(2, bytes([k + 1]) * (128 if k else 1)) for k in range(8))
+    key = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(4, tlv(0x30, tlv(2, b"\0") + numbers)))
+    text = base64.b64encode(key).decode()
+    lines = [text[i : i + 64] for i in range(0, len(text), 64)]
+    kind = b"ssh-ed25519"
+    ssh = base64.b64encode(len(kind).to_bytes(4, "big") + kind + b"\0\0\0\x20" + bytes(range(32))).decode()
+    before, after = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    shapes = ["\n", "\\n", "\\r\\n", "\\\\n", "\n    ", " \r\n\t"]
+    for gap in shapes:
+        whole = gap.join([before, *lines, after])
+        assert secret_scan.scan(whole)[4] == f"der:{len(before + gap)}:{len(whole) - len(gap + after)}", gap
+    for glue in ("x/", "nx", "a" * 30 + "\n", "a" * 30 + "\n" + "word\n" * 900):
+        assert secret_scan.scan(glue + text)[4] == f"der:{len(glue)}:{len(glue + text)}", glue
+        assert secret_scan.scan(glue + ssh)[4] == f"ssh:{len(glue)}:{len(glue + ssh)}", glue
+    url = text.replace("+", "-").replace("/", "_")
+    assert secret_scan.scan("k " + url)[4] == f"der:2:{2 + len(url)}"
+    assert secret_scan.scan("ab" + key.hex().upper())[5] == 1
+    assert secret_scan.scan("MIIE" * 5000)[5] == 0 == secret_scan.scan(("AAAAB3NzaC1yc2E" + "A" * 9 + "\n") * 500)[5]
+
+
 # 7 languages
 
 
