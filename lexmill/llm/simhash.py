@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -159,28 +159,53 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Near copies by similarity: prefixes of the shingle sets find every candidate, the whole sets decide.
 
 #: One row in SAMPLE is read for the common shingles, of which at most COMMON are told to the tasks.
-SAMPLE = 8
+SAMPLE = 16
 COMMON = 200_000
+#: Bytes kept of a shingle's hash, and slots of a sketch.
+WIDTH = 5
+SKETCH = 128
+#: Pairs whose sketches estimate less than the similarity by MARGIN, over five standard errors, aren't compared whole.
+MARGIN = 0.2
+_LOT = 1 << 16
+
+
+def _packed(grams: set[bytes]) -> np.ndarray:
+    """The sorted distinct hashes of the shingles."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+    return np.unique(hashes & np.uint64((1 << 8 * WIDTH) - 1)).astype("<i8")
+
+
+def _unpacked(lot: bytes) -> np.ndarray:
+    out = np.zeros((len(lot) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(lot, np.uint8).reshape(-1, WIDTH)
+    return out.view("<i8").ravel()
+
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """One-permutation minima: the least 15-bit rank of the hashes in each of SKETCH slots, -1
+    for an empty slot.  Equal slots among those in use estimate Jaccard similarity."""
+    least = np.full(SKETCH, np.iinfo(np.int64).max)
+    np.minimum.at(least, grams % SKETCH, grams // SKETCH)
+    return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7FFF).astype(np.int16)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, same, grams): a digest of the word sequence and the sorted distinct 64-bit hashes of
-    the ``size``-word shingles.  Copies have equal digests."""
+    """(id, same, grams, sketch): a digest of the word sequence, the sorted distinct hashes of the
+    ``size``-word shingles and their sketch.  Copies have equal digests."""
 
     def setup() -> Mapper:
-        def one(text: str | None) -> tuple[int, bytes]:
+        def one(text: str | None) -> tuple[int, bytes, bytes]:
             words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-            grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)).view(np.int64)
-            return xxhash.xxh3_64_intdigest(b" ".join(words)), np.unique(hashes).tobytes()
+            grams = _packed(set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)})
+            return xxhash.xxh3_64_intdigest(b" ".join(words)), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
 
         def mapper(texts: list[str | None]) -> tuple[None, list]:
             found = [one(t) for t in texts]
-            return None, [np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64), [f[1] for f in found]]
+            return None, [np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64), [f[1] for f in found], [f[2] for f in found]]
 
         return mapper
 
-    return map_texts(df, id_col, text_col, setup, "same long, grams binary")
+    return map_texts(df, id_col, text_col, setup, "same long, grams binary, sketch binary")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +214,8 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lot in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(lot, np.int64))], ["key"])
+            for lot in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(lot.as_py()))], ["key"])
 
     seen = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("grams").mapInArrow(all_of, "key long")
     rows = seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "key").limit(COMMON).collect()
@@ -200,62 +225,86 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, pos, n): the first shingles of each set of n, rare ones before common ones.  Two
-    sets of ``similarity`` or more share at least one of them."""
+    """(key, node, at): the first shingles of each set of n, rare ones before common ones; ``at``
+    is place << 32 | n.  Two sets of ``similarity`` or more share at least one of them."""
     shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
+
+        def lot_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["key", "node", "at"])
+
+        rows, held = [], 0
         for batch in batches:
-            for node, lot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = np.frombuffer(lot, np.int64)
+            for node, lot in zip(batch.column(0), batch.column(1)):
+                grams = _unpacked(lot.as_py())
                 weight = np.zeros(len(grams), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
                     weight = np.where(keys[at] == grams, counts[at], 0)
                 n = len(grams)
-                part = grams[np.lexsort((grams, weight))][: n - math.ceil(similarity * n - 1e-9) + 1]
-                columns = [part, np.full(len(part), node), np.arange(len(part), dtype=np.int32), np.full(len(part), n, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "pos", "n"])
+                part = grams[np.argsort(weight, kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1]  # grams are sorted
+                rows.append((part, np.full(len(part), node.as_py()), np.arange(len(part)) << 32 | n))
+                held += len(part)
+                if held >= _LOT:
+                    yield lot_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield lot_of(rows)
 
-    return sets.select("node", "grams").mapInArrow(first_of, "key long, node long, pos int, n int")
+    return sets.select("node", "grams").mapInArrow(first_of, "key long, node long, at long")
 
 
 def _possible(a: str, b: str, similarity: float) -> Column:
     """Whether two sets that share the shingle at ``pos`` can reach ``similarity`` at all."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+    n, m = (F.col(f"{x}.at").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
+    i, j = (F.shiftright(F.col(f"{x}.at"), 32) for x in (a, b))
     most = F.least(i, j) + F.least(n - i, m - j)
     return most * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): the pairs (a, b) whose whole sets have a Jaccard similarity of ``similarity`` or more."""
-    pairs = staged(pairs.distinct(), "near-pairs")
+def _estimate(x: bytes, y: bytes) -> float:
+    x, y = np.frombuffer(x, np.int16), np.frombuffer(y, np.int16)
+    used = (x >= 0) | (y >= 0)
+    return ((x == y) & used).sum() / used.sum()
+
+
+def _jaccard(x: bytes, y: bytes) -> float:
+    x, y = _unpacked(x), _unpacked(y)
+    inner = len(np.intersect1d(x, y, assume_unique=True))
+    return inner / (len(x) + len(y) - inner)
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, column: str, measure: Callable[[bytes, bytes], float], least: float) -> DataFrame:
+    """The pairs (a, b) whose ``column`` has a ``measure`` of ``least`` or more; a written table."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
-    both = pairs.join(one.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.first(column).alias("v"))
+    both = pairs.join(one.select(F.col("node").alias("a"), F.col("v").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("v").alias("y")), "b")
 
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.int64) for v in (x, y))
-                inner = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(inner >= similarity * (len(x) + len(y) - inner) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
+            good = [measure(x.as_py(), y.as_py()) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return staged(both.select("a", "b", "x", "y").mapInArrow(jaccard, "src long, dst long"), "near-edges")
+    return staged(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "near-pairs")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (a, b) whose whole sets have a Jaccard similarity of ``similarity`` or more."""
+    likely = _passing(staged(pairs.distinct(), "near-met"), sets, "sketch", _estimate, similarity - MARGIN)
+    return _passing(likely, sets, "grams", _jaccard, similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def similar_edges(sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams) of
+    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams, sketch) of
     Jaccard ``similarity`` or more.
 
     The members of each shared key are first compared with one of them, drawn by a hash, so a
     cluster is tied in linear steps; then all pairs that are still in different components are.
     """
-    member, key = F.struct("node", "n", "pos"), Window.partitionBy("key")
-    drawn = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n", "pos")
+    member, key = F.struct("node", "at"), Window.partitionBy("key")
+    drawn = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "at")
     told = prefixes(sets, similarity).select("key", member.alias("me"), F.min(drawn).over(key).alias("head"), F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi"))
     members = staged(told.where("lo < hi").select("key", "me", "head").distinct(), "near-keys")
     stars = members.where("me.node <> head.node").where(_possible("me", "head", similarity))
@@ -280,8 +329,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col).alias("_k2")]  # null-safe name of a row
     row = df.select(F.struct(F.col(id_col).alias("id"), *keys).alias("row"), F.col(text_col).alias("text"))
-    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "grams"), "shingle-sets")
-    edges = similar_edges(found.where("id IS NOT NULL").select("node", "grams"), similarity)
+    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "grams", "sketch"), "shingle-sets")
+    edges = similar_edges(found.where("id IS NOT NULL").select("node", "grams", "sketch"), similarity)
     # A node is a distinct text, not an id: texts that share an id stay apart.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")).alias("first")
     nodes = found.groupBy("node").agg(first).join(components(edges), "node", "left")
