@@ -121,9 +121,10 @@ def _rank(intent: Column) -> Column:
     return F.array_position(F.array(*[F.lit(i) for i in PRIORITY]), intent)
 
 
-def classifier(label: str = "intent", text: str = "query", regularisation: float = 0.01, features: int = 1 << 13) -> Pipeline:
+def classifier(label: str = "intent", text: str = "query", regularisation: float = 0.01, features: int = (1 << 31) - 1) -> Pipeline:
     """Word uni- and bigrams, log term frequency, inverse document frequency, balanced multinomial
-    logistic regression.  The input needs a ``weight`` column (see ``balanced``)."""
+    logistic regression.  The input needs a ``weight`` column (see ``balanced``).  All features count:
+    ``features`` only bounds them where a caller asks for it."""
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"(?U)[\w']+", gaps=False),

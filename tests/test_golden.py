@@ -173,3 +173,11 @@ def test_stream_rewrites_across_batches(spark, tmp_path):
     finally:
         q.stop()
     assert [r.retrieval_query for r in spark.table("rewrites").orderBy("seq").collect()] == ["What is osmosis?", "What is osmosis? why?"]
+
+
+def test_classifier_keeps_all_features(spark):
+    from lexmill.operators import routing
+
+    rows = spark.createDataFrame([(" ".join(f"w{i}x{k}" for k in range(250)), "ab"[i % 2]) for i in range(20)], "query string, intent string")
+    model = routing.classifier().fit(routing.balanced(rows))
+    assert len(model.stages[4].vocabulary) == 20 * (250 + 249)
