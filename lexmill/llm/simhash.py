@@ -322,8 +322,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each group of near copies, that of the smallest id; all columns as they are.
 
     Copies have the same words in the same order (case aside); near copies have a Jaccard
-    similarity of ``similarity`` or more of their ``size``-word shingles, and all of them are
-    found.  Groups are closed transitively.  Null and blank texts are copies of each other.  A
+    similarity of ``similarity`` or more of their ``size``-word shingles, and all are candidates
+    (see MARGIN).  Groups are closed transitively.  Null and blank texts are copies of each other.  A
     row with a null id stays unless a copy with an id does; of wholly repeated rows one stays.
     ``heavy`` is accepted for callers of old and changes nothing.
     """
