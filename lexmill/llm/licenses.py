@@ -13,6 +13,7 @@ each place where its first word stands, so a licence is found inside any text.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -141,15 +142,22 @@ class TokenAutomaton:
 
 AUTOMATA = tuple(TokenAutomaton(*t) for t in TEMPLATES)
 _PHRASES = tuple((tuple(p.split()), label) for p, label in BASE_PHRASES)
-#: A text without any of these byte strings holds no phrase and no template.
-_CHEAP = re.compile(rb"licen|rights|(?<![0-9a-z\x80-\xff])cc0? |permission|redistribution|unencumbered|warranty")
+
+
+@lru_cache(maxsize=16)
+def _needed(automata: tuple[TokenAutomaton, ...]) -> re.Pattern:
+    """Any text with a base phrase or a match of ``automata`` holds this: of each, its longest
+    mandatory word, as a whole word."""
+    words = {max(p, key=len) for p, _ in _PHRASES} | {max(a.rarest | {a.first}, key=lambda w: (len(w), w)) for a in automata}
+    one = b"|".join(re.escape(w.encode("utf-8", "surrogatepass")) for w in sorted(words))
+    return re.compile(rb"(?<![^ ])(?:" + one + rb")(?![^ ])")
 
 
 def scan(text: str | None, automata: tuple[TokenAutomaton, ...] = AUTOMATA) -> dict:
     """All base places and template matches of one whole text (null counts as empty)."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
     out = {"n_words": len(raw.split()), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": ""}
-    if not _CHEAP.search(raw):
+    if not _needed(tuple(automata)).search(raw):
         return out
     words = words_of(text)
     where: dict[str, list[int]] = {}
