@@ -116,20 +116,35 @@ def links(fps: DataFrame, radius: int = 2, n_segments: int = 2, heavy: int = 64)
     return pairs.unionByName(tied).distinct()
 
 
+#: Parts that the edges of a node are dealt over, so that no hub comes to one task.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame, least: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``edges`` (u, v) with m, what ``least`` makes of (u, p), p being least values of v.
+
+    Both sides meet by node and salt; the other side has a row for each salt that the node uses.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("p"))
+    told = parts.select("u", "salt").join(least(parts.groupBy("u").agg(F.min("p").alias("p"))), "u")
+    return salted.join(told, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge.
 
     Alternates large-star and small-star steps until the edges no longer change, each
-    round written as a reliable checkpoint.  All state is distributed.  Each star step
-    groups by a node with only a minimum, so a hub's rows are combined before they move.
+    round written as a reliable checkpoint.  All state is distributed and a hub's edges are
+    dealt over SALTS parts.
     """
     now = checkpointed(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _with_least(both, lambda x: x.select("u", F.least("u", "p").alias("m"))).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, lambda x: x.select("u", F.col("p").alias("m")))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
         same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = new
@@ -142,17 +157,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fingerprint, component_id), one row per input row.
 
     Texts without words (null, blank) share fingerprint zero and are linked like others;
-    repeated ids keep their rows; a null id gets its component's id and is never chosen
-    as one unless the whole component has no other.  An empty table gives an empty result.
+    repeated ids keep their rows; a row with a null id links others as any row does, gets its
+    component's id and is never chosen as one unless the whole component has no other.  Only
+    the two columns are read.  An empty table gives an empty result.
     """
-    prints = staged(fingerprints(df, id_col, text_col, size), "fingerprints")
-    # A fingerprint's node is its smallest doc_id: component ids then need no second lookup.
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = staged(fingerprints(docs, size=size), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-nodes")
-    edges = links(nodes.select("fp"), radius, n_segments, heavy)
-    named = edges.join(nodes.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src").join(nodes.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst")
-    roots = components(named.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = prints.join(classes, "fp")
+    roots = components(links(nodes.select("fp"), radius, n_segments, heavy))
+    classes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    out = prints.join(named, "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -190,22 +205,24 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, same, grams, sketch): a digest of the word sequence, the sorted distinct hashes of the
-    ``size``-word shingles and their sketch.  Copies have equal digests."""
+    """(id, same, also, grams, sketch): both halves of a 128-bit digest of the word sequence, the
+    sorted distinct hashes of the ``size``-word shingles and their sketch.  Copies have equal digests."""
 
     def setup() -> Mapper:
-        def one(text: str | None) -> tuple[int, bytes, bytes]:
+        def one(text: str | None) -> tuple[int, int, bytes, bytes]:
             words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
             grams = _packed(set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)})
-            return xxhash.xxh3_64_intdigest(b" ".join(words)), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
+            digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+            return digest >> 64, digest & ((1 << 64) - 1), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
 
         def mapper(texts: list[str | None]) -> tuple[None, list]:
             found = [one(t) for t in texts]
-            return None, [np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64), [f[1] for f in found], [f[2] for f in found]]
+            halves = [np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 1)]
+            return None, [*halves, [f[2] for f in found], [f[3] for f in found]]
 
         return mapper
 
-    return map_texts(df, id_col, text_col, setup, "same long, grams binary, sketch binary")
+    return map_texts(df, id_col, text_col, setup, "same long, also long, grams binary, sketch binary")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -325,19 +342,23 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     similarity of ``similarity`` or more of their ``size``-word shingles, and all are candidates
     (see MARGIN).  Groups are closed transitively.  Null and blank texts are copies of each other.  A
     row with a null id stays unless a copy with an id does; of wholly repeated rows one stays.
+    An empty table stays empty; columns may have any names.
     ``heavy`` is accepted for callers of old and changes nothing.
     """
-    keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col).alias("_k2")]  # null-safe name of a row
-    row = df.select(F.struct(F.col(id_col).alias("id"), *keys).alias("row"), F.col(text_col).alias("text"))
-    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "grams", "sketch"), "shingle-sets")
+    k1, k2 = (next(n for n in (f"_k{i}" + "_" * j for j in range(len(df.columns) + 1)) if n.lower() not in {c.lower() for c in df.columns}) for i in (1, 2))
+    keys = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)]  # null-safe name of a row
+    row = df.select(F.struct(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2")).alias("row"), F.col(text_col).alias("text"))
+    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "also", "grams", "sketch"), "shingle-sets")
     edges = similar_edges(found.where("id IS NOT NULL").select("node", "grams", "sketch"), similarity)
-    # A node is a distinct text, not an id: texts that share an id stay apart.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")).alias("first")
-    nodes = found.groupBy("node").agg(first).join(components(edges), "node", "left")
-    kept = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = staged(kept.select("first._k1", "first._k2"), "kept")
-    rows = df.select("*", *keys).join(kept, ["_k1", "_k2"], "left_semi")
-    repeated = found.join(kept, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").count().where("count > 1")
+    # A node is a distinct text, not an id: texts that share an id stay apart.  Should different
+    # texts ever share the half of the digest that names the node, all but one count by themselves.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
+    nodes = found.groupBy("node", "also").agg(first).withColumn("main", F.min("also").over(Window.partitionBy("node"))).join(components(edges), "node", "left")
+    kept = nodes.groupBy(F.coalesce("root", "node").alias("root"), F.when(F.col("also") != F.col("main"), F.col("also")).alias("apart")).agg(F.min("first").alias("first"))
+    kept = staged(kept.select("first.k1", "first.k2"), "kept")
+    named = kept.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    rows = df.select("*", keys[0].alias(k1), keys[1].alias(k2)).join(named, [k1, k2], "left_semi")
+    repeated = found.join(kept, ["k1", "k2"], "left_semi").groupBy("k1", "k2").count().where("count > 1")
     if not repeated.isEmpty():  # only wholly repeated rows need another look
-        rows = rows.dropDuplicates(["_k1", "_k2"])
+        rows = rows.dropDuplicates([k1, k2])
     return rows.select(*df.columns)
