@@ -8,9 +8,14 @@ n(t) of them holding term t, n(e) entity e and n(t,e) both of them anywhere in t
 
 PMI is at most IC, which it reaches if t stands nowhere but beside e: t then discloses e
 wholly.  In documents that hold e, every occurrence of t is generalised from ``generalise`` of
-IC on and removed from ``remove`` of IC on.  Pairs are judged by this ratio alone, however few
+IC on, to the broader term that its shape tells (a code, an acronym, a name, a word), and removed
+from ``remove`` of IC on.  Pairs are judged by this ratio alone, however few
 documents hold them.  The ratio also guards common terms: for an entity in n(e) documents, a
 term in more than n(e)^g N^(1-g) of them never reaches the share g.
+
+All counts are of the documents that hold something, so entities that stand in the same documents
+have the same counts with every term.  They are judged as one class: a log with thousands of
+addresses of its own is one class beside its terms, not thousands.
 """
 
 from __future__ import annotations
@@ -35,8 +40,13 @@ PATTERNS = {
 CHEAP = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}[\p{L}\p{Nd}]{2,}+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: Matches that are put together at a time where a text has very many.
-BLOCK = 200
+#: The broader terms, by shape.
+GENERAL = ("[WORD]", "[NAME]", "[ACRONYM]", "[CODE]")
+#: Matches put together at a time, and characters of a stretch of text, so that arrays and strings
+#: aren't copied whole for each match of a long text.
+BLOCK, STRETCH = 200, 1024
+#: Parts that an entity's rows are dealt over in joins.
+SALTS = 16
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -58,25 +68,29 @@ def _placed(parts: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches with their places, from the lengths of the matches and of the gaps between them."""
-    return _placed(_parts(text, pattern))["out"]
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _blocks_of(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.filter(F.array(items), lambda x: F.lit(False)))
 
-def located_many(text: Column, pattern: str) -> Column:
-    """``located`` for thousands of matches: block by block, since arrays are copied as they grow."""
+
+def located(text: Column, pattern: str) -> Column:
+    """Matches with their places, from the lengths of the matches and of the gaps between them,
+    block by block."""
 
     def shifted(x: Column, by: Column) -> Column:
         return F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"))
 
     def whole(parts: Column) -> Column:
-        last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: _placed(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK))))
+        blocks = F.transform(_blocks_of(parts), _placed)
         joined = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.transform(b["out"], lambda x: shifted(x, acc["at"]))).alias("out"))
         return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), joined)["out"]
 
-    # Bound to a variable, so that the text is matched once.
-    return F.element_at(F.transform(F.array(_parts(text, pattern)), whole), 1)
+    return _once(_parts(text, pattern), whole)
 
 
 def _digits(value: Column) -> Column:
@@ -116,10 +130,27 @@ def _named(term: Column) -> Column:
     return F.xxhash64(F.lower(term))
 
 
-def _free(text: Column, spans: Column) -> Column:
-    """(t, start, end) of all terms of the text outside its spans; t names the term."""
-    free = F.filter(located_many(text, TERM), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.transform(free, lambda t: F.struct(_named(t["value"]).alias("t"), t["start"].alias("start"), t["end"].alias("end")))
+def _blanked(text: Column, kind: str) -> Column:
+    """``text`` with as many control characters in place of each valid match of one kind."""
+    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    shown = lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").when(_VALID[kind](hit), F.repeat(F.lit("\x01"), F.length(hit))).otherwise(hit))
+    return F.array_join(F.zip_with(F.split(text, PATTERNS[kind], -1), hits, shown), "")
+
+
+def _without(text: Column, kind: str) -> Column:
+    held = F.exists("spans", lambda b: b["kind"] == kind)
+    return _once(text, lambda t: F.when(held, _blanked(t, kind)).otherwise(t))
+
+
+def _shape(term: Column) -> Column:
+    """Which of GENERAL is broader than the term."""
+    return F.when(term.rlike(r"\p{Nd}"), 3).when(~term.rlike(r"\p{Ll}"), 2).when(term.rlike(r"^\p{Lu}"), 1).otherwise(0)
+
+
+def _free(text: Column) -> Column:
+    """(t, start, end, shape) of all terms of a text whose base spans are blanked; t names the term."""
+    told = lambda x: F.struct(_named(x["value"]).alias("t"), x["start"].alias("start"), x["end"].alias("end"), _shape(x["value"]).alias("shape"))
+    return F.transform(located(text, TERM), told)
 
 
 def _tagged(order: int, kind: str) -> Column:
@@ -149,10 +180,23 @@ def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> Data
     return df.select(F.explode(F.array_distinct(found)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t")
 
 
+def with_classes(dirty: DataFrame) -> DataFrame:
+    """``dirty`` (row, entities, ...) with ``classes`` in place of ``entities``: entities of the
+    same rows are one class, named by sums of the rows' hashes."""
+    held = dirty.select("row", F.explode("entities").alias("e"))
+    # One entity may stand in a third of all rows: its rows are dealt over salts.
+    held = held.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    thirds = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "row"), 33)).alias(f"s{k}") for k in range(3)]
+    parts = held.groupBy("e", "salt").agg(F.count("*").alias("n"), *thirds)
+    whole = parts.groupBy("e").agg(F.xxhash64(F.sum("n"), *[F.sum(f"s{k}") for k in range(3)]).alias("c"))
+    told = held.join(parts.select("e", "salt").join(whole, "e"), ["e", "salt"])
+    return dirty.drop("entities").join(told.groupBy("row").agg(F.collect_set("c").alias("classes")), "row")
+
+
 def disclosing(df: DataFrame, dirty: DataFrame, n_docs: int, text_col: str, generalise: float) -> DataFrame:
     """(e, t, ratio) of the pairs whose PMI is at least ``generalise`` of the entity's IC.
-    ``dirty`` has the entities and the free terms of the rows with base spans."""
-    each = dirty.select(F.explode("entities").alias("e"), F.array_distinct(F.col("free.t")).alias("ts"))
+    ``dirty`` has the classes of entities and the free terms of the rows with base spans."""
+    each = dirty.select(F.explode("classes").alias("e"), F.array_distinct(F.col("free.t")).alias("ts"))
     entities = each.groupBy("e").agg(F.count("*").alias("n_e"))
     pairs = staged(each.select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n_te")), "pii-pairs")
     counts = staged(term_counts(df, pairs.select("t").distinct(), text_col), "pii-counts")
@@ -167,26 +211,29 @@ def disclosing(df: DataFrame, dirty: DataFrame, n_docs: int, text_col: str, gene
 
 
 def find_private(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.75, remove: float = 0.9, salts: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.75, remove: float = 0.9, salts: int = SALTS
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned, terms): ``scan`` without texts, and for rows with disclosing terms
     (doc_id, h, terms: start, order, kind, end, value).  Both are written tables."""
     base = scan(df, id_col, text_col)
     entities = F.array_distinct(F.transform("spans", lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))
-    free = F.when(F.size("spans") > 0, _free(F.col("text"), F.col("spans")))
-    scanned = staged(base.select("doc_id", "h", "spans", entities.alias("entities"), free.alias("free")), "pii-scan")
+    plain = F.col("text")
+    for kind in PATTERNS:
+        plain = _without(plain, kind)
+    free = F.when(F.size("spans") > 0, _free(plain))
+    scanned = staged(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "spans", entities.alias("entities"), free.alias("free")), "pii-scan")
     n_docs = scanned.count()
-    dirty = scanned.where(F.size("spans") > 0).select("doc_id", "h", "entities", "free")
+    dirty = staged(with_classes(scanned.where(F.size("spans") > 0).select("row", "doc_id", "h", "entities", "free")), "pii-dirty")
     telling = staged(disclosing(df, dirty, n_docs, text_col, generalise), "pii-telling")
-    # One entity may hold a third of all rows: the pairs are spread over salts before the join.
+    # A class may hold a third of all rows: the pairs are spread over salts before the join.
     telling = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = dirty.select("doc_id", "h", F.explode("entities").alias("e"), "free").select("doc_id", "h", "e", F.explode("free").alias("f")).select("doc_id", "h", "e", "f.*")
+    near = dirty.select("doc_id", "h", F.explode("classes").alias("e"), "free").select("doc_id", "h", "e", F.explode("free").alias("f")).select("doc_id", "h", "e", "f.*")
     spread = near.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h", "start"), F.lit(salts)).cast("int"))
-    hits = spread.join(telling, ["e", "t", "salt"]).groupBy("doc_id", "h", "start", "end").agg(F.max("ratio").alias("ratio"))
-    value = F.when(F.col("ratio") >= remove, "").otherwise("[WORD]")
+    hits = spread.join(telling, ["e", "t", "salt"]).groupBy("doc_id", "h", "start", "end").agg(F.max("ratio").alias("ratio"), F.first("shape").alias("shape"))
+    value = F.when(F.col("ratio") >= remove, "").otherwise(F.get(F.array(*map(F.lit, GENERAL)), F.col("shape")))
     one = F.struct(F.col("start"), F.lit(4).alias("order"), F.lit("term").alias("kind"), F.col("end"), value.alias("value"))
     terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    return scanned.drop("entities", "free"), staged(terms, "pii-terms")
+    return scanned.drop("row", "entities", "free"), staged(terms, "pii-terms")
 
 
 def _listed(spans: Column) -> Column:
@@ -216,18 +263,42 @@ def private_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+_CUTS = "array<struct<from:int,to:int,mark:string>>"
+
+
+def _cut(stretches: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, of its stretches."""
+    i, j = (start / STRETCH).cast("int"), (end / STRETCH).cast("int")
+    first = F.get(stretches, i)
+    many = F.concat(
+        F.coalesce(F.substring(first, start % STRETCH + 1, F.lit(STRETCH)), F.lit("")),
+        F.array_join(F.slice(stretches, i + 2, F.greatest(j - i - 1, F.lit(0))), ""),
+        F.coalesce(F.substring(F.get(stretches, j), F.lit(1), end % STRETCH), F.lit("")),
+    )
+    return F.when(end <= start, "").when(i == j, F.substring(first, start % STRETCH + 1, end - start)).otherwise(many)
+
+
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span's place taken by its mark; overlapping spans become one."""
+    none = F.array().cast(_CUTS)
 
     def add(acc: Column, x: Column) -> Column:
         mark = F.when(x["kind"] == "term", x["value"]).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], kept, mark).alias("out"))
+        cut = F.struct(acc["at"].alias("from"), x["start"].alias("to"), mark.alias("mark"))
+        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(cut)).alias("out"))
         inside = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(x["start"] >= acc["at"], fresh).otherwise(inside)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def block(acc: Column, spans: Column) -> Column:
+        own = F.aggregate(spans, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return _once(own, lambda b: F.struct(b["at"].alias("at"), F.concat(acc["out"], b["out"]).alias("out")))
+
+    def shown(x: Column) -> Column:
+        parts = F.transform(x["cuts"]["out"], lambda c: F.concat(_cut(x["text"], c["from"], c["to"]), c["mark"]))
+        return F.concat(F.array_join(parts, ""), _cut(x["text"], x["cuts"]["at"], F.length(text)))
+
+    cuts = F.aggregate(_blocks_of(spans), F.struct(F.lit(0).alias("at"), none.alias("out")), block)
+    return _once(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)).alias("text"), cuts.alias("cuts")), shown)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **limits: float) -> DataFrame:
