@@ -12,9 +12,9 @@ labels all blocks within it (the innermost label counts; none means other).
 from __future__ import annotations
 
 import html
-import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from .arrow_map import Mapper, map_texts
 
 #: Elements whose content is never text, void elements, inline elements,
-#: elements whose start ends an open one of the same kind.
+#: elements whose start ends an open one of the same kind, elements that may stand in a head.
 _RAW = frozenset("script style template noscript iframe svg math textarea select title head object canvas audio video".split())
 _CDATA = frozenset("script style textarea title iframe noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_IN_HEAD = frozenset("base basefont bgsound command link meta noframes noscript script style template title".split())
 _SCOPE = frozenset("table ul ol dl div article section main body html td th aside nav header footer form".split())
 
 #: Words of class, id and role that the features know.
@@ -43,9 +44,12 @@ _MARKS = frozenset(
 )
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_OPENS_TAG = re.compile(r"<[A-Za-z/!?]")
+#: A tag that the page ends in: nothing but a name and attributes with values, which a text that
+#: happens to hold "<" is not.
+_TORN_TAG = re.compile(r"""<(?:[!?][^<]*|/?[A-Za-z][^\s<>/="']*(?:\s+[^\s<>/="']+\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'<>]*))*\s*/?)\Z""")
 
 
 @dataclass
@@ -59,9 +63,12 @@ class Block:
 
 @dataclass
 class _Element:
+    """An open element, with what it and those around it amount to for a block."""
+
     tag: str
-    features: tuple[str, ...]
+    path: tuple[str, ...]
     label: int
+    own: str  # the innermost element that is not inline
 
 
 def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
@@ -70,7 +77,7 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role", "itemprop"):
             found += [f"mark:{w}" for w in _WORDS.findall(value.lower()) if w in _MARKS]
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
             found.append("mark:hidden")
         elif name == "data-label":
             label = int(value == "main")
@@ -78,13 +85,19 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, white space collapsed, references decoded."""
+    """The leaf blocks of a page in order, white space collapsed, references decoded.
+
+    A head that is never closed ends where something stands that no head may hold.  Every step
+    takes time in proportion to what it reads or closes, however deep elements are nested.
+    """
     page = page or ""
-    end = page.rfind(">") + 1
-    if cut := _OPENS_TAG.search(page, end):
-        page = page[: cut.start()]  # a tag that never ends is no text
+    end = page.rfind(">") + 1  # no tag ends behind it
+    if (cut := page.find("<!--", end)) >= 0 or ((cut := page.rfind("<", end)) >= 0 and _TORN_TAG.match(page, cut)):
+        page = page[:cut]
     blocks: list[Block] = []
+    root = _Element("", (), -1, "")
     stack: list[_Element] = []
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
     linked = skipping = links = at = 0
 
@@ -93,11 +106,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                path: list[str] = []
-                for e in stack:
-                    path += e.features
-                own = next((e.tag for e in reversed(stack) if e.tag not in _INLINE), "")
-                blocks.append(Block(text, tuple(dict.fromkeys(path)), next((e.label for e in reversed(stack) if e.label >= 0), 0), linked, own))
+                top = stack[-1] if stack else root
+                blocks.append(Block(text, top.path, max(top.label, 0), linked, top.own))
             held.clear()
         linked = 0
 
@@ -106,17 +116,24 @@ def leaf_blocks(page: str | None) -> list[Block]:
         for e in stack[to:]:
             skipping -= e.tag in _RAW
             links -= e.tag == "a"
+            open_tags[e.tag] -= 1
         del stack[to:]
 
+    def leave_head() -> None:
+        if stack and stack[-1].tag == "head":
+            pop(len(stack) - 1)
+
     def add(raw: str) -> None:
         nonlocal linked
+        if raw and skipping and stack[-1].tag == "head" and not raw.isspace():
+            leave_head()
         if raw and not skipping:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
             if links:
                 linked += len(text)
 
-    while m := _TOKEN.search(page, at):
+    while m := _TOKEN.search(page, at, end):
         add(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -124,12 +141,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         tag = m[2].lower()
         block = tag not in _INLINE
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
             if block:
                 flush()
-            if i >= 0:
-                pop(i)
+            if open_tags[tag]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
+        if tag not in _IN_HEAD:
+            leave_head()
         if tag == "br":
             held.append(" ")
             continue
@@ -139,7 +157,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if block:
             flush()
-            closing = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
+            closing = {t for t in _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set()) if open_tags[t]}
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag in closing:
@@ -148,7 +166,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     if stack[i].tag in _SCOPE:
                         break
         marks, label = _marks(m[3]) if m[3].strip(" /") else ((), None)
-        stack.append(_Element(tag, (f"tag:{tag}", *marks) if block or marks else (), -1 if label is None else label))
+        outer = stack[-1] if stack else root
+        fresh = tuple(f for f in dict.fromkeys((f"tag:{tag}", *marks)) if f not in outer.path) if block or marks else ()
+        stack.append(_Element(tag, outer.path + fresh if fresh else outer.path, outer.label if label is None else label, tag if block else outer.own))
+        open_tags[tag] += 1
         skipping += tag in _RAW
         links += tag == "a"
         if m[3].endswith("/") and tag in ("svg", "math", "object"):
@@ -309,6 +330,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
             lambda: f'<div class="{r.choice(("share", "social", "tags", "breadcrumbs"))}">{menu(2, 5)}</div>',
             lambda: f'<form class="newsletter"><label>{words(1, 4)}</label><p>{sentence()}</p><button>{word()}</button></form>',
             lambda: f'<div id="cookie-consent" class="notice"><p>{prose(1, 2)}</p><button>{word()}</button></div>',
+            lambda: f'<div {r.choice(("hidden", "style="+chr(34)+"display:none"+chr(34), "aria-hidden=true"))}><p>{prose(1, 3)}</p></div>',
             lambda: f'<section id="comments" class="comments">' + "".join(f'<article class="comment"><p>{prose(1, 4)}</p></article>' for _ in range(r.randint(1, 4))) + "</section>",
             lambda: f'<div class="comments"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{prose(1, 3)}</p></div>' for _ in range(r.randint(1, 4))) + "</div>",
         ))()
