@@ -43,13 +43,11 @@ _OPENSSH_MAGIC = b"openssh-key-v1\0"
 _HEADS = [base64.b64encode(x).decode()[: len(x) * 8 // 6] for x in (_OPENSSH_MAGIC, *(len(t).to_bytes(4, "big") + t for t in _SSH_TYPES))]
 _DER_START, _SSH_START = re.compile("M[A-I]"), re.compile("|".join(map(re.escape, _HEADS)))
 _HEX_START = re.compile("(?=30[0-8])")
-#: Deepest nesting that a key is parsed to.
-_DEPTH = 12
 
 
-def _der(data: bytes, at: int, end: int, depth: int = 0) -> tuple[list, int] | None:
-    """One tag-length-value with all that is nested in it: ([tag, content or children], next)."""
-    if depth > _DEPTH or at + 2 > end:
+def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, where the content begins, where it ends) of the value at ``at``."""
+    if at + 2 > end:
         return None
     tag, size, at = data[at], data[at + 1], at + 2
     if size & 0x80:
@@ -59,17 +57,28 @@ def _der(data: bytes, at: int, end: int, depth: int = 0) -> tuple[list, int] | N
         size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if size < 128:
             return None
-    if at + size > end:
-        return None
-    if not tag & 0x20:
-        return [tag, data[at : at + size]], at + size
-    children, i = [], at
-    while i < at + size:
-        if (found := _der(data, i, at + size, depth + 1)) is None:
+    return (tag, at, at + size) if at + size <= end else None
+
+
+def _der(data: bytes, at: int, end: int) -> tuple[list, int] | None:
+    """One tag-length-value with all that is nested in it, however deep: ([tag, content or children], next)."""
+    top: list = []
+    inside = [(top, end)]  # lists being filled, and where each ends
+    while True:
+        if (found := _header(data, at, inside[-1][1])) is None:
             return None
-        children.append(found[0])
-        i = found[1]
-    return [tag, children], at + size
+        tag, at, close = found
+        if tag & 0x20:
+            inner: list = []
+            inside[-1][0].append([tag, inner])
+            inside.append((inner, close))
+        else:
+            inside[-1][0].append([tag, data[at:close]])
+            at = close
+        while len(inside) > 1 and at == inside[-1][1]:
+            inside.pop()
+        if len(inside) == 1:
+            return top[0], at
 
 
 def is_der_key(data: bytes) -> bool:
@@ -140,11 +149,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _der_size(head: bytes) -> int:
-    """Bytes of the sequence that begins with ``head``, its header included; 0 if none can."""
-    if len(head) < 6 or head[0] != 0x30:
+    """Bytes of the sequence that begins with ``head``, its header included; 0 if no key can: the
+    first value of any is a number or a sequence."""
+    if len(head) < 7 or head[0] != 0x30:
         return 0
     n = head[1] & 0x7F if head[1] & 0x80 else 0
-    if n > 4 or head[1] == 0x80:
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
         return 0
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
 
@@ -182,7 +192,7 @@ def _keys(run: str) -> list[tuple[int, int, int]]:
         if at < done:
             continue
         if not ssh:
-            size = _der_size(_unbase64(packed[at : at + 8]) or b"")
+            size = _der_size(_unbase64(packed[at : at + 12]) or b"")
             width = -(-size * 8 // 6)
             if size < 16 or width > len(packed) - at:
                 continue
@@ -206,9 +216,9 @@ def _keys(run: str) -> list[tuple[int, int, int]]:
 def _hex_keys(run: str) -> list[tuple[int, int, int]]:
     out, done = [], 0
     for at in (m.start() for m in _HEX_START.finditer(run)):
-        if at < done or at + 12 > len(run):
+        if at < done or at + 14 > len(run):
             continue
-        size = _der_size(bytes.fromhex(run[at : at + 12]))
+        size = _der_size(bytes.fromhex(run[at : at + 14]))
         if size < 16 or at + 2 * size > len(run):
             continue
         data = bytes.fromhex(run[at : at + 2 * size])
