@@ -11,8 +11,10 @@ summed in each task before they move, so the result has at most ``BUCKETS`` rows
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +38,11 @@ _BLOCK = 1 << 20
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
-def _letters() -> np.ndarray:
-    """Which code points of the basic plane are letters or marks; others count as letters too."""
-    import unicodedata
-
-    flags = np.zeros(0x10001, bool)
-    flags[:0x10000] = [unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)]
-    flags[0x10000] = True
-    return flags
-
-
-_IS_LETTER: np.ndarray | None = None
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points, of all planes, are letters; and which are letters or marks."""
+    kinds = np.fromiter((ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)), np.uint8, 0x110000)
+    return kinds == ord("L"), (kinds == ord("L")) | (kinds == ord("M"))
 
 
 @dataclass
@@ -61,13 +57,15 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    global _IS_LETTER
-    if _IS_LETTER is None:
-        _IS_LETTER = _letters()
+    letters, parts = _letters()
     low = [t.lower() for t in texts]
     codes = np.frombuffer("\0".join(low).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32)
-    letter = _IS_LETTER[np.minimum(codes, 0x10000)]
+    letter = parts[codes]
     at = np.flatnonzero(letter)
+    own = letters[codes[at]]
+    if not own.all():  # marks without any letter beside them are no words
+        word = np.cumsum(np.append(True, np.diff(at) > 1)) - 1
+        at = at[(np.bincount(word, own) > 0)[word]]
     if not len(at):
         none = np.empty(0, np.int64)
         return Words(none, none, none, none, none)
@@ -109,6 +107,7 @@ class LanguageModel:
         grams += 0.05
         self.scores = np.log(grams / grams.sum(0)).astype(np.float32) if n else grams
         allowed = scripts >= script_share * np.maximum(scripts.sum(0), 1)
+        self.known = allowed.any(1)  # scripts that some language uses
         allowed |= ~allowed.any(1, keepdims=True)  # a script of no language rules none out
         self.barred = np.where(allowed, 0, -1e4).astype(np.float32)
         self.penalty = penalty
@@ -150,9 +149,10 @@ class LanguageModel:
                 now[:k] = back[at, now[:k]]
         return labels
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        """(language, share of the letters in its spans, number of spans); ``und`` without letters."""
-        out: list[tuple[str, float, int]] = [("und", 0.0, 0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
+        """(language, share of the letters in its spans, number of spans, share of the letters in
+        scripts that some language uses); ``und`` without letters."""
+        out: list[tuple[str, float, int, float]] = [("und", 0.0, 0, 0.0)] * len(texts)
         for rows, held in _blocks(texts):
             labels, w = self.spans(held)
             if not len(labels):
@@ -161,9 +161,10 @@ class LanguageModel:
             mass = np.bincount(w.texts * n + labels, w.sizes, len(held) * n).reshape(-1, n)
             changes = (np.diff(w.texts, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0)
             spans = np.bincount(w.texts[changes], minlength=len(held))
+            known = np.bincount(w.texts, w.sizes * self.known[w.scripts], len(held))
             for i in np.flatnonzero(mass.sum(1)).tolist():
                 k = int(mass[i].argmax())
-                out[rows[i]] = (self.languages[k], float(mass[i, k] / mass[i].sum()), int(spans[i]))
+                out[rows[i]] = (self.languages[k], float(mass[i, k] / mass[i].sum()), int(spans[i]), float(known[i] / mass[i].sum()))
         return out
 
 
@@ -213,14 +214,21 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     return map_texts(df, id_col, text_col, setup, "lang_pred string, score double, n_spans long")
 
 
-def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose language is told and holds at least ``least`` of the letters; all columns."""
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.3, least_known: float = 0.5) -> DataFrame:
+    """The rows whose language is told, all columns as they are: it holds at least ``least`` of
+    the letters, and at least ``least_known`` of them are of scripts that some language uses.
+
+    Null texts and texts without a letter go, as does every text if nothing was learned.
+    Repeated rows are judged alike; ties go to the language that sorts first.  An empty table
+    stays empty; columns may have any names.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+            good = [lang != "und" and score >= least and known >= least_known for lang, score, _, known in found]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
