@@ -1,7 +1,9 @@
 """Tokenise documents and pack them into sequences by vector best-fit.
 
-A sequence has three capacities: tokens, documents and attention cost (the sum of squared
-piece lengths).  Pieces are placed longest first.  Among the open sequences whose residual
+A sequence has three capacities: tokens, documents and attention cost.  Attention within
+documents is computed in square tiles of TILE tokens, so a piece of n tokens costs
+ceil(n / TILE)**2 tiles, and a sequence affords those of one full piece and an eighth more: many
+tiny pieces can exhaust it, or the document count, before the tokens.  Pieces are placed longest first.  Among the open sequences whose residual
 fits the piece in every dimension, the one is taken that scores best: by the smallest norm
 of what would remain, or by the largest dot product of piece and residual, each dimension
 as a share of its capacity and weighted.  Sequences with the same residual are alike, so the
@@ -31,6 +33,9 @@ from .runtime import staged
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+#: Pieces that a sequence holds at most, so that its table of boundaries has a fixed size, and tokens
+#: in a tile's side.
+DOCUMENTS, TILE = 64, 64
 #: Scripts in which both engines split words alike; any other character takes the slower one.
 _USUAL = re.compile(r"[\x00-ʯͰ-ϿЀ-ӿ֐-ۿ‐-‧‰-⁞₠-₿぀-ヿ一-鿿가-힣]*")
 
@@ -44,20 +49,21 @@ def _byte_of_char() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(name: str):
-    """text -> uint32 ids.  The vocabulary is that of ``name``; texts of usual scripts are
-    encoded by a faster engine given the same vocabulary, which yields the same ids."""
+    """text -> uint32 ids, those of ``name`` with add_special_tokens=False.  Texts of usual scripts
+    without an added token's text are encoded by a faster engine given the same vocabulary, which
+    yields the same ids."""
     path = public_tokenizers.path(name)
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        told = json.load(file)
+    vocabulary, added = told["model"]["vocab"], [t["content"] for t in told["added_tokens"]]
     as_byte = _byte_of_char()
     ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token)}
     ranks = {token: i for token, i in ranks.items() if i < len(vocabulary) - 1 or len(token) == 1}  # the last is special
     fast = tiktoken.Encoding("lexmill", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if _USUAL.fullmatch(text):
+        if _USUAL.fullmatch(text) and not any(t in text for t in added):
             return fast.encode_to_numpy(text, disallowed_special=())
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -90,7 +96,12 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return map_texts(df, id_col, text_col, setup, "piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> list[tuple[int, int]]:
+def tiles(n: int, tile: int = TILE) -> int:
+    """Attention cost of a piece of n tokens."""
+    return (-(-n // tile)) ** 2
+
+
+def best_fit(lengths: list[int], tokens: int, documents: int, attention: int, tile: int = TILE, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> list[tuple[int, int]]:
     """(bin, offset) of each length under all three capacities.
 
     A residual is (tokens, documents, attention).  Distinct residuals of open bins are kept
@@ -107,7 +118,7 @@ def best_fit(lengths: list[int], tokens: int, documents: int, attention: int, we
     grown = np.empty((256, 3), np.int64)
     used = 0
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        need = (lengths[i], 1, lengths[i] ** 2)
+        need = (lengths[i], 1, tiles(lengths[i], tile))
         if any(n > c for n, c in zip(need, fresh)):
             raise ValueError(f"a piece of {lengths[i]} tokens fits no sequence")
         residual = grown[:used]
@@ -137,14 +148,17 @@ def best_fit(lengths: list[int], tokens: int, documents: int, attention: int, we
     return out
 
 
-def pack(pieces: DataFrame, size: int = 1024, documents: int = 1024, attention: int | None = None, group: int = 20_000, rule: str = "norm") -> DataFrame:
-    """``pieces`` with (sequence_id, offset).
+def pack(
+    pieces: DataFrame, size: int = 1024, documents: int = DOCUMENTS, attention: int | None = None, tile: int = TILE, group: int = 20_000, rule: str = "norm"
+) -> DataFrame:
+    """``pieces`` with (sequence_id, offset).  ``attention`` is in tiles; by default those of one
+    piece of ``size`` tokens and an eighth more.
 
     Only the pieces shorter than a sequence are searched, in groups of about ``group`` rows
     dealt by a hash: each is large enough that what its last sequences leave is negligible,
     and bounded, so no task grows with the input.  Repeated rows are packed each on their own.
     """
-    attention = attention or size * size
+    attention = attention or tiles(size, tile) * 9 // 8
     names = pieces.columns
     full = pieces.where(F.col("length") >= size)
     part = pieces.where(F.col("length") < size)
@@ -154,7 +168,7 @@ def pack(pieces: DataFrame, size: int = 1024, documents: int = 1024, attention:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        placed = best_fit(pdf["length"].tolist(), size, documents, attention, rule=rule)
+        placed = best_fit(pdf["length"].tolist(), size, documents, attention, tile, rule=rule)
         first = int(pdf["_group"].iloc[0])
         pdf["sequence_id"] = [b * groups + first for b, _ in placed]
         pdf["offset"] = [o for _, o in placed]
@@ -166,7 +180,7 @@ def pack(pieces: DataFrame, size: int = 1024, documents: int = 1024, attention:
     return searched.unionByName(alone)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, documents: int = 1024, tokenizer: str = TOKENIZER, rule: str = "norm") -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, documents: int = DOCUMENTS, tokenizer: str = TOKENIZER, rule: str = "norm") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece, the end id.  Repeated rows are packed as often as they
