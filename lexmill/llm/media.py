@@ -2,9 +2,10 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has given bits zero, so a cut
 depends on nearby content only and shared stretches give equal chunks.  The stored form of a
-payload is its ordered chunk list (a manifest of digests and lengths) over a chunk table that
-holds each distinct chunk once: duplicates go by a join on the digest.  Reading joins the list
-with the table, puts the chunks in order and verifies every digest and the payload's own.
+payload is its ordered chunk list (a manifest of digests and lengths) and the chunks it names.
+Both are written: the lists as a table, and each distinct chunk once, as raw bytes, in a Parquet
+table bucketed by digest, so that reading joins the lists with it without moving a chunk before
+it is needed.  Reading puts the chunks in order and verifies every digest and length.
 
 Equal payloads have equal manifests, so reading reconstructs each distinct manifest once.
 """
@@ -13,15 +14,18 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import zstandard
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import Mapper, columns_of, map_texts
+from .runtime import scratch_path, shuffle_width, staged
 
 MAGIC = b"CDC1"
 #: Smallest and largest chunk in bytes; a cut needs CUT_BITS zero bits, so chunks have about
@@ -82,71 +86,91 @@ def parse_manifest(manifest: bytes) -> list[tuple[int, bytes]]:
     return [(struct.unpack(">I", manifest[8 + 36 * i : 12 + 36 * i])[0], manifest[12 + 36 * i : 44 + 36 * i]) for i in range(n)]
 
 
+#: A digest in this share of the list entries or more is read by broadcast: at most 1 / HOT chunks
+#: of at most MOST bytes each (13 MB), however large the store.
+HOT = 0.005
+
+
 @dataclass
 class MediaStore:
-    """rows: (id, n_bytes, media_id, n_chunks); lists: (media_id, seq, digest, length, n_chunks),
-    one set for each distinct manifest; chunks: (digest, data), each digest once, compressed."""
+    """Written tables: rows (id, n_bytes, media_id, n_chunks); lists (media_id, seq, digest, length,
+    n_chunks), one set for each distinct manifest; chunks (digest, data), each digest once."""
 
     rows: DataFrame
     lists: DataFrame
     chunks: DataFrame
 
 
-def _chunked(df: DataFrame, id_col: str, text_col: str, with_data: bool) -> DataFrame:
-    def setup() -> Mapper:
-        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+def _mapped(df: DataFrame, id_col: str, text_col: str, one: Callable[[int, list[bytes], list[bytes]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``one`` makes of (bytes of the text, parts of its payload, their digests)."""
 
+    def setup() -> Mapper:
         def mapper(texts: list[str | None]) -> tuple[list[int], list]:
             rows, out = [], []
             for i, text in enumerate(texts):
                 data = payload_of(text)
                 ends = cuts(data)
                 parts = [data[a:b] for a, b in zip([0, *ends], ends)]
-                digests = [hashlib.sha256(p).digest() for p in parts]
-                media = hashlib.sha256(manifest_of(digests, [len(p) for p in parts])).digest()
-                n = len((text or "").encode("utf-8", "surrogatepass"))
-                for k, (p, d) in enumerate(zip(parts, digests)):
-                    rows.append(i)
-                    out.append((n, media, len(parts), k, d, len(p), pack(p) if with_data else None))
-            return rows, columns_of(out, 7)
+                found = one(len((text or "").encode("utf-8", "surrogatepass")), parts, [hashlib.sha256(p).digest() for p in parts])
+                rows += [i] * len(found)
+                out += found
+            return rows, columns_of(out, len(schema.split(", ")))
 
         return mapper
 
-    return map_texts(df, id_col, text_col, setup, "n_bytes long, media_id binary, n_chunks int, seq int, digest binary, length int, data binary")
+    return map_texts(df, id_col, text_col, setup, schema)
 
 
 def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> MediaStore:
-    """Cut every payload; hold each distinct chunk and each distinct manifest once.
+    """Cut every payload and write the store: each distinct chunk and each distinct manifest once.
 
     A null text is an empty one: a payload of UNIT zero bytes.  Repeated rows share chunks
-    and manifest.  Nothing is written until a result is; only the two columns are read.
+    and manifest.  Only the two columns are read.
     """
-    places = _chunked(df, id_col, text_col, with_data=False).drop("data")
-    rows = places.where("seq = 0").select(id_col, "n_bytes", "media_id", "n_chunks")
-    lists = places.select("media_id", "seq", "digest", "length", "n_chunks").distinct()
-    data = _chunked(df, id_col, text_col, with_data=True).select("digest", "data")
-    return MediaStore(rows, lists, data.groupBy("digest").agg(F.first("data").alias("data")))
+    spark = df.sparkSession
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def listed(n: int, parts: list[bytes], digests: list[bytes]) -> list[tuple]:
+        media = hashlib.sha256(manifest_of(digests, [len(p) for p in parts])).digest()
+        return [(n, media, len(parts), k, d, len(p)) for k, (p, d) in enumerate(zip(parts, digests))]
+
+    places = staged(_mapped(docs, "doc_id", "text", listed, "n_bytes long, media_id binary, n_chunks int, seq int, digest binary, length int"), "media-places")
+    data = _mapped(docs, "doc_id", "text", lambda n, parts, digests: list(zip(digests, parts)), "digest binary, data binary").select("digest", "data")
+    once = data.groupBy("digest").agg(F.first("data").alias("data"))
+    name = f"lexmill_chunks_{uuid.uuid4().hex}"
+    once.write.bucketBy(shuffle_width(spark), "digest").option("path", scratch_path(spark, "media-chunks")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    rows = places.where("seq = 0").select(F.col("doc_id").alias(id_col), "n_bytes", "media_id", "n_chunks")
+    lists = staged(places.select("media_id", "seq", "digest", "length", "n_chunks").distinct(), "media-lists")
+    return MediaStore(rows, lists, spark.table(name))
+
+
+def _stored(store: MediaStore) -> DataFrame:
+    """The list entries, each with its chunk as stored.  Chunks that very many lists share are
+    broadcast; for the others the lists go to the chunks' buckets."""
+    often = store.lists.groupBy("digest").count().where(F.col("count") >= F.lit(max(2.0, HOT * store.lists.count())))
+    hot = [bytes(r.digest) for r in often.collect()]  # at most 1 / HOT digests
+    if not hot:
+        return store.lists.hint("shuffle_hash").join(store.chunks, "digest")
+    shared = F.col("digest").isin(*map(F.lit, hot))
+    few = store.lists.where(shared).join(F.broadcast(store.chunks.where(shared)), "digest")
+    return few.unionByName(store.lists.where(~shared).hint("shuffle_hash").join(store.chunks, "digest"))
 
 
 def _read_back(parts: list[tuple[int, bytes, int, bytes]]) -> tuple:
     """Verify and join the stored chunks of one medium: its digests and features."""
     parts = sorted(parts, key=lambda p: p[0])
-    unpack = zstandard.ZstdDecompressor().decompress
-    whole, stored = [], 0
     for k, (seq, digest, length, data) in enumerate(parts):
-        part = unpack(data)
-        if seq != k or len(part) != length or hashlib.sha256(part).digest() != digest:
+        if seq != k or len(data) != length or hashlib.sha256(data).digest() != digest:
             raise ValueError("a stored chunk doesn't match its list")
-        whole.append(part)
-        stored += len(data)
-    manifest = manifest_of([p[1] for p in parts], [p[2] for p in parts])
-    payload = b"".join(whole)
+    manifest, payload = manifest_of([p[1] for p in parts], [p[2] for p in parts]), b"".join(p[3] for p in parts)
+    stored = hashlib.sha256(manifest)
+    stored.update(payload)
     samples = np.frombuffer(payload, np.uint8)
     share = np.bincount(samples, minlength=256) / len(samples)
     entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
     feature = f"chunks={len(parts)};mean={samples.mean():.4f};std={samples.std():.4f};entropy={entropy:.4f};peak={int(samples.max())}"
     return (hashlib.sha256(manifest).digest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-            len(manifest) + stored, hashlib.sha256(manifest).hexdigest(), feature)
+            len(manifest) + len(payload), stored.hexdigest(), feature)
 
 
 _MEDIA = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -156,13 +180,11 @@ def read_media(store: MediaStore) -> DataFrame:
     """(media_id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
     of each distinct manifest, from its chunks as stored.
 
-    ``media_bytes`` counts the manifest and its compressed chunks; ``media_sha256`` is the
-    manifest's, which pins every chunk by its digest.  A medium of one chunk is read where the
-    join leaves it; only longer ones are brought together by their id.
+    The stored form is the manifest and its chunks in order: ``media_bytes`` counts and
+    ``media_sha256`` hashes all of it.  A medium of one chunk is read where the join leaves it;
+    only longer ones are brought together by their id.
     """
-    import pyarrow as pa
-
-    joined = store.lists.join(store.chunks, "digest")
+    joined = _stored(store)
 
     def single(batches):
         for batch in batches:
@@ -184,7 +206,11 @@ def read_media(store: MediaStore) -> DataFrame:
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row, with the features of its payload as read back.  Equal texts have
-    equal values; an empty table gives an empty result."""
+    equal values; an empty table gives an empty result.
+
+    A medium that very many rows share is a skewed key of the last join, whose rows are a few
+    bytes; both of its sides are shuffled, so adaptive execution splits such a partition.
+    """
     store = write_media(df, id_col, text_col)
     media = read_media(store)
     return store.rows.join(media, "media_id").drop("media_id", "n_chunks")
