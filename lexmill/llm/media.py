@@ -3,7 +3,7 @@
 A payload is cut where a rolling gear hash of its last 32 bytes has given bits zero, so a cut
 depends on nearby content only and shared stretches give equal chunks.  The stored form of a
 payload is its ordered chunk list (a manifest of digests and lengths) and the chunks it names.
-Both are written: the lists as a table, and each distinct chunk once, as raw bytes, in a Parquet
+Both are written: the lists as a table, and each distinct chunk once, compressed, in a Parquet
 table bucketed by digest, so that reading joins the lists with it without moving a chunk before
 it is needed.  Reading puts the chunks in order and verifies every digest and length.
 
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ MAGIC = b"CDC1"
 #: Smallest and largest chunk in bytes; a cut needs CUT_BITS zero bits, so chunks have about
 #: LEAST + 2**CUT_BITS bytes.
 LEAST, MOST, CUT_BITS = 4096, 65536, 12
+#: Effort of the compression of a chunk.
+LEVEL = 3
 UNIT = 64
 
 
@@ -94,7 +97,7 @@ HOT = 0.005
 @dataclass
 class MediaStore:
     """Written tables: rows (id, n_bytes, media_id, n_chunks); lists (media_id, seq, digest, length,
-    n_chunks), one set for each distinct manifest; chunks (digest, data), each digest once."""
+    n_chunks), one set for each distinct manifest; chunks (digest, data), each digest once, compressed."""
 
     rows: DataFrame
     lists: DataFrame
@@ -135,10 +138,15 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return [(n, media, len(parts), k, d, len(p)) for k, (p, d) in enumerate(zip(parts, digests))]
 
     places = staged(_mapped(docs, "doc_id", "text", listed, "n_bytes long, media_id binary, n_chunks int, seq int, digest binary, length int"), "media-places")
-    data = _mapped(docs, "doc_id", "text", lambda n, parts, digests: list(zip(digests, parts)), "digest binary, data binary").select("digest", "data")
+
+    def packed(n: int, parts: list[bytes], digests: list[bytes]) -> list[tuple]:
+        pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
+        return [(d, pack(p)) for p, d in zip(parts, digests)]
+
+    data = _mapped(docs, "doc_id", "text", packed, "digest binary, data binary").select("digest", "data")
     once = data.groupBy("digest").agg(F.first("data").alias("data"))
     name = f"lexmill_chunks_{uuid.uuid4().hex}"
-    once.write.bucketBy(shuffle_width(spark), "digest").option("path", scratch_path(spark, "media-chunks")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    once.write.bucketBy(shuffle_width(spark), "digest").option("path", scratch_path(spark, "media-chunks")).option("compression", "none").format("parquet").saveAsTable(name)
     rows = places.where("seq = 0").select(F.col("doc_id").alias(id_col), "n_bytes", "media_id", "n_chunks")
     lists = staged(places.select("media_id", "seq", "digest", "length", "n_chunks").distinct(), "media-lists")
     return MediaStore(rows, lists, spark.table(name))
@@ -158,19 +166,23 @@ def _stored(store: MediaStore) -> DataFrame:
 
 def _read_back(parts: list[tuple[int, bytes, int, bytes]]) -> tuple:
     """Verify and join the stored chunks of one medium: its digests and features."""
-    parts = sorted(parts, key=lambda p: p[0])
+    parts, whole = sorted(parts, key=lambda p: p[0]), []
+    unpack = zstandard.ZstdDecompressor().decompress
+    manifest = manifest_of([p[1] for p in parts], [p[2] for p in parts])
+    stored = hashlib.sha256(manifest)
     for k, (seq, digest, length, data) in enumerate(parts):
-        if seq != k or len(data) != length or hashlib.sha256(data).digest() != digest:
+        part = unpack(data)
+        if seq != k or len(part) != length or hashlib.sha256(part).digest() != digest:
             raise ValueError("a stored chunk doesn't match its list")
-    manifest, payload = manifest_of([p[1] for p in parts], [p[2] for p in parts]), b"".join(p[3] for p in parts)
-    stored = hashlib.sha256(manifest)
-    stored.update(payload)
+        whole.append(part)
+        stored.update(data)
+    payload = b"".join(whole)
     samples = np.frombuffer(payload, np.uint8)
     share = np.bincount(samples, minlength=256) / len(samples)
     entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
     feature = f"chunks={len(parts)};mean={samples.mean():.4f};std={samples.std():.4f};entropy={entropy:.4f};peak={int(samples.max())}"
     return (hashlib.sha256(manifest).digest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-            len(manifest) + len(payload), stored.hexdigest(), feature)
+            len(manifest) + sum(len(p[3]) for p in parts), stored.hexdigest(), feature)
 
 
 _MEDIA = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
