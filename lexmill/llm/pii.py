@@ -214,7 +214,7 @@ def find_private(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.75, remove: float = 0.9, salts: int = SALTS
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned, terms): ``scan`` without texts, and for rows with disclosing terms
-    (doc_id, h, terms: start, order, kind, end, value).  Both are written tables."""
+    (doc_id, h, terms: start, order, kind, end, value).  What is read more than once is a written table."""
     base = scan(df, id_col, text_col)
     entities = F.array_distinct(F.transform("spans", lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))
     plain = F.col("text")
@@ -224,7 +224,7 @@ def find_private(
     scanned = staged(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "spans", entities.alias("entities"), free.alias("free")), "pii-scan")
     n_docs = scanned.count()
     dirty = staged(with_classes(scanned.where(F.size("spans") > 0).select("row", "doc_id", "h", "entities", "free")), "pii-dirty")
-    telling = staged(disclosing(df, dirty, n_docs, text_col, generalise), "pii-telling")
+    telling = disclosing(df, dirty, n_docs, text_col, generalise)
     # A class may hold a third of all rows: the pairs are spread over salts before the join.
     telling = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     near = dirty.select("doc_id", "h", F.explode("classes").alias("e"), "free").select("doc_id", "h", "e", F.explode("free").alias("f")).select("doc_id", "h", "e", "f.*")
@@ -233,7 +233,7 @@ def find_private(
     value = F.when(F.col("ratio") >= remove, "").otherwise(F.get(F.array(*map(F.lit, GENERAL)), F.col("shape")))
     one = F.struct(F.col("start"), F.lit(4).alias("order"), F.lit("term").alias("kind"), F.col("end"), value.alias("value"))
     terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    return scanned.drop("row", "entities", "free"), staged(terms, "pii-terms")
+    return scanned.drop("row", "entities", "free"), terms
 
 
 def _listed(spans: Column) -> Column:
