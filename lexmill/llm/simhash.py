@@ -116,27 +116,23 @@ def links(fps: DataFrame, radius: int = 2, n_segments: int = 2, heavy: int = 64)
     return pairs.unionByName(tied).distinct()
 
 
-#: Parts that the edges of a node are dealt over, so that no hub comes to one task.
-SALTS = 64
-
-
 def _with_least(edges: DataFrame, least: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``edges`` (u, v) with m, what ``least`` makes of (u, p), p being least values of v.
+    """``edges`` (u, v) with m, what ``least`` makes of (u, p), p being the least v of u.
 
-    Both sides meet by node and salt; the other side has a row for each salt that the node uses.
+    The least values are summed up in each task before they move.  They are joined by another
+    name of u, so both sides of the join are shuffled for it and adaptive execution can split
+    the edges of a hub.
     """
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("p"))
-    told = parts.select("u", "salt").join(least(parts.groupBy("u").agg(F.min("p").alias("p"))), "u")
-    return salted.join(told, ["u", "salt"]).select("u", "v", "m")
+    key = F.col("u").bitwiseXOR(F.lit(1).cast("long")).alias("k")
+    low = least(edges.groupBy("u").agg(F.min("v").alias("p"))).select(key, "m")
+    return edges.select("u", "v", key).join(low, "k").select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge.
 
     Alternates large-star and small-star steps until the edges no longer change, each
-    round written as a reliable checkpoint.  All state is distributed and a hub's edges are
-    dealt over SALTS parts.
+    round written as a reliable checkpoint.  All state is distributed.
     """
     now = checkpointed(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
