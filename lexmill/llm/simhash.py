@@ -116,20 +116,21 @@ def links(fps: DataFrame, radius: int = 2, n_segments: int = 2, heavy: int = 64)
     return pairs.unionByName(tied).distinct()
 
 
-def _with_least(edges: DataFrame, least: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``edges`` (u, v) with m, what ``least`` makes of (u, p), p being the least v of u.
+def _with_least(edges: DataFrame, own: bool) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of u (u itself included if ``own``).
 
     The least values are summed up in each task before they move.  They are joined by another
     name of u, so both sides of the join are shuffled for it and adaptive execution can split
     the edges of a hub.
     """
-    key = F.col("u").bitwiseXOR(F.lit(1).cast("long")).alias("k")
-    low = least(edges.groupBy("u").agg(F.min("v").alias("p"))).select(key, "m")
-    return edges.select("u", "v", key).join(low, "k").select("u", "v", "m")
+    named = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long")).alias("k")
+    low = edges.select(F.col("u").alias("w"), F.col("v").alias("p")).groupBy("w").agg(F.min("p").alias("p"))
+    low = low.select(named("w"), (F.least("w", "p") if own else F.col("p")).alias("m"))
+    return edges.select("u", "v", named("u")).join(low, "k").select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node with an edge.
+    """(node, root): the smallest node reachable, for every node that reaches a smaller one.
 
     Alternates large-star and small-star steps until the edges no longer change, each
     round written as a reliable checkpoint.  All state is distributed.
@@ -137,9 +138,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     now = checkpointed(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, lambda x: x.select("u", F.least("u", "p").alias("m"))).where("v > u")
+        large = _with_least(both, own=True).where("v > u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large, lambda x: x.select("u", F.col("p").alias("m")))
+        small = _with_least(large, own=False)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
         same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
