@@ -112,12 +112,13 @@ _SLOT = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 
 def render(template: str, values: dict[str, object]) -> str:
-    """Fill ``{{name}}`` slots in one pass; a value is never expanded again, a missing one is an error."""
+    """Fill ``{{name}}`` slots in one pass; a value is never expanded again, None is an empty text,
+    a missing name is an error."""
 
     def fill(m: re.Match) -> str:
-        if values.get(m[1]) is None:
+        if m[1] not in values:
             raise KeyError(f"no value for {m[1]}")
-        return str(values[m[1]])
+        return "" if values[m[1]] is None else str(values[m[1]])
 
     return _SLOT.sub(fill, template)
 

@@ -31,7 +31,7 @@ def plain_marks(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def line_key(line: Column) -> Column:
@@ -66,7 +66,7 @@ def blank_page_numbers(text: Column) -> Column:
 
 def dehyphenate(text: Column) -> Column:
     """Rejoin words broken at a line end; lookarounds reach the fixpoint in one pass."""
-    return F.regexp_replace(text, r"(?U)(?<=\w)-\n(?=\w)", "")
+    return F.regexp_replace(text, r"(?U)-\n(?<=\w-\n)(?=\w)", "")
 
 
 def join_soft_wraps(text: Column) -> Column:

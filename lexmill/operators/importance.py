@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from .cleaning import strip
-from .keywords import tfidf
 
 #: Phrases that define, and what counts as a number.
 DEFINES = r"(?i)\b(is defined as|refers to|is called|are called|means|is known as|can be defined as)\b"
@@ -34,22 +33,20 @@ def numeric_score(text: Column) -> Column:
     return F.when(hits == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.4 + 0.2 * hits))
 
 
-def sentence_importance(sentences: DataFrame, textrank: DataFrame) -> DataFrame:
-    """(doc_id, position, chunk_id, features..., score)."""
-    weights = tfidf(sentences.select("doc_id", F.col("position").alias("part"), "text"), bigrams=False, max_features=None)
-    means = weights.groupBy("doc_id", F.col("part").alias("position")).agg(F.avg("weight").alias("mean"))
-    every = Window.partitionBy("doc_id")
-    full = sentences.join(means, ["doc_id", "position"], "left").join(textrank.withColumnRenamed("score", "_tr"), ["doc_id", "position"], "left")
-    top = F.max(F.coalesce("mean", F.lit(0.0))).over(every)
+def sentence_importance(ranked: DataFrame) -> DataFrame:
+    """(doc_id, position, chunk_id, features..., score) of ``graph.rank_sentences``; narrow."""
+    top = F.array_max(F.transform("sentences", lambda s: F.coalesce(s["mean"], F.lit(0.0))))
+    full = ranked.select("doc_id", top.alias("_top"), F.size("sentences").alias("_n"), F.explode("sentences").alias("s"))
+    text = F.col("s.text")
     feats = {
-        "tfidf": places(F.coalesce("mean", F.lit(0.0)) / F.when(top > 0, top).otherwise(1.0)),
-        "heading": F.when(strip(F.col("heading")) != "", 1.0).otherwise(0.0),
-        "definition": F.when(F.col("text").rlike(DEFINES), 1.0).otherwise(0.0),
-        "numeric": numeric_score(F.col("text")),
-        "position": places(position_score(F.col("position"), F.count("*").over(every))),
-        "textrank": places(F.coalesce("_tr", F.lit(0.0))),
+        "tfidf": places(F.coalesce("s.mean", F.lit(0.0)) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)),
+        "heading": F.when(strip(F.col("s.heading")) != "", 1.0).otherwise(0.0),
+        "definition": F.when(text.rlike(DEFINES), 1.0).otherwise(0.0),
+        "numeric": numeric_score(text),
+        "position": places(position_score(F.col("s.position"), F.col("_n"))),
+        "textrank": places(F.col("s.score")),
     }
-    shown = full.select("doc_id", "position", "chunk_id", *[c.alias(f"f_{k}") for k, c in feats.items()])
+    shown = full.select("doc_id", "s.position", "s.chunk_id", *[c.alias(f"f_{k}") for k, c in feats.items()])
     total = reduce(Column.__add__, [F.col(f"f_{k}") * SETTINGS.importance_weights[k] for k in FEATURES])
     return shown.withColumn("score", places(total))
 

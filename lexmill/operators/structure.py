@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from .cleaning import strip
 
+#: What headings, bullets and tokens look like.
 NUMBERED = r"^(\d+(\.\d+){0,3})[.)]?\s+\S"
 ALL_CAPS = r"^[A-Z0-9][A-Z0-9\s\-:,&/()]{2,80}$"
 TITLE_CASE = r"^([A-Z][a-zA-Z0-9'&]*\s*){1,10}$"
@@ -69,81 +71,99 @@ def headings(docs: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
 def sentences(paragraph: Column) -> Column:
     """Sentences of a paragraph, by replacement of boundaries with a sentinel.
 
-    Periods of abbreviations, and all that follow a digit, are masked first.
+    Periods of abbreviations, and all that follow a digit, are masked first.  The patterns begin
+    with the period and look back from there, so only periods are tried.
     """
     text = strip(paragraph)
+    dotted = text
     for a in sorted((a for a in ABBREVIATIONS if "." in a), key=lambda a: (-len(a), a)):
         head, tail = a.split(".")
-        text = F.regexp_replace(text, rf"(?iU)\b({head})\.({tail})\.", f"$1{_DOT}$2{_DOT}")
+        dotted = F.regexp_replace(dotted, rf"(?iU)\b({head})\.({tail})\.", f"$1{_DOT}$2{_DOT}")
+    text = F.when(text.rlike(r"\.\S\."), dotted).otherwise(text)
     plain = "|".join(sorted((a for a in ABBREVIATIONS if "." not in a), key=lambda a: (-len(a), a)))
-    text = F.regexp_replace(text, rf"(?iU)\b({plain})\.", f"$1{_DOT}")
-    text = F.regexp_replace(text, r"([0-9])\.", f"$1{_DOT}")
+    text = F.regexp_replace(text, rf"(?iU)\.(?<=\b(?:{plain})\.|[0-9]\.)", _DOT)
     text = F.regexp_replace(text, r"([.!?][\"')\]]?)\s+(?=[A-Z0-9\"'(\[])", f"$1{_CUT}")
     parts = F.transform(F.split(text, _CUT), lambda x: strip(F.translate(x, _DOT, ".")))
     return F.filter(parts, lambda x: x != "")
 
 
 def count_tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.regexp_count(text, F.lit(TOKEN.removeprefix("(?U)")))).otherwise(F.regexp_count(text, F.lit(TOKEN)))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))
 def chunk_ranges(counts: pd.Series, target: pd.Series, overlap: pd.Series) -> pd.Series:
     """Sentence ranges of the chunks of each document, from token counts alone.
 
-    Sequential by nature (each start depends on the last end), so it runs as a fold over
-    integers beside the rows; no text leaves the JVM.
+    Each start depends on the last end, so the ranges are found one by one, each by two binary
+    searches in the running sums; no text leaves the JVM.
     """
 
-    def ranges(n: list[int], most: int, shared: int) -> list[dict]:
-        out, start = [], 0
-        while start < len(n):
-            end, total = start, 0
-            while end < len(n) and (total == 0 or total + n[end] <= most):
-                total += n[end]
-                end += 1
-            out.append({"first": start, "last": end - 1})
-            if end == len(n):
-                break
-            back, total = end, 0
-            while back > start and total + n[back - 1] <= shared:
-                back -= 1
-                total += n[back]
-            start = back if back > start else end
+    def ranges(n: np.ndarray, most: int, shared: int) -> list[dict]:
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out, first, size = [], 0, len(n)
+        while first < size:
+            end = max(first + 1, int(np.searchsorted(upto, upto[first] + most, "right")) - 1)
+            out.append({"first": first, "last": end - 1})
+            back = int(np.searchsorted(upto, upto[end] - shared, "left"))
+            first = size if end == size else back if back > first else end
         return out
 
-    return pd.Series([ranges(list(c), int(t), int(o)) for c, t, o in zip(counts, target, overlap)])
+    return pd.Series([ranges(np.asarray(c, np.int64), int(t), int(o)) for c, t, o in zip(counts, target, overlap)])
 
 
 #: So marked only to keep the planner from copying the call into the generator below it.
 chunk_ranges = chunk_ranges.asNondeterministic()
 
 
-def document_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, s): the sentences of a document in order with their line and token count."""
+def document_sentences(docs: DataFrame, *carried: Column) -> DataFrame:
+    """(doc_id, carried, s): the sentences of a document in order with their line and token count."""
     per_line = F.transform(
         paragraphs(F.col("text")),
         lambda p, i: F.transform(sentences(p), lambda x: F.struct(x.alias("text"), i.cast("long").alias("line"), count_tokens(x).alias("n"))),
     )
-    return docs.select("doc_id", F.flatten(per_line).alias("s"))
+    return docs.select("doc_id", *carried, F.flatten(per_line).alias("s"))
 
 
-def chunks(docs: DataFrame, heads: DataFrame | None = None, target: int = SETTINGS.chunk_tokens, overlap: int = SETTINGS.overlap_tokens) -> DataFrame:
+def own_headings(text: Column) -> Column:
+    """The headings of a text by its own lines: an array of (line_index, text)."""
+    lines = F.transform(paragraphs(text), lambda x, i: F.struct(i.cast("long").alias("line_index"), x.alias("text")))
+    return F.filter(lines, lambda x: heading_level(x["text"]) > 0)
+
+
+def document_chunks(docs: DataFrame, headed: bool = False, target: int = SETTINGS.chunk_tokens, overlap: int = SETTINGS.overlap_tokens) -> DataFrame:
+    """(doc_id, chunks: array of chunk_id, position, text, token_count, first_line, heading), one
+    row per document with a sentence; a narrow transformation.
+
+    With ``headed`` each chunk takes the last of the document's own headings at or before its
+    first line.
+    """
+    heads = own_headings(F.col("text")) if headed else F.array().cast("array<struct<line_index:bigint,text:string>>")
+    told = document_sentences(docs, heads.alias("h")).where(F.size("s") > 0)
+    cut = told.withColumn("r", chunk_ranges(F.transform("s", lambda x: x["n"]), F.lit(target), F.lit(overlap)))
+
+    def chunk(r: Column, i: Column) -> Column:
+        own = F.slice("s", r["first"] + 1, r["last"] - r["first"] + 1)
+        line = F.get("s", r["first"])["line"]
+        before = F.filter("h", lambda h: h["line_index"] <= line)
+        # Sentences meet at a blank, so no token spans two: a chunk has the sum of their tokens.
+        return F.struct(
+            F.concat(F.lit("c"), i).alias("chunk_id"), i.cast("long").alias("position"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"),
+            F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("token_count"), line.alias("first_line"), F.coalesce(F.get(before, F.size(before) - 1)["text"], F.lit("")).alias("heading"),
+        )
+
+    return cut.select("doc_id", F.transform("r", chunk).alias("chunks"))
+
+
+def chunks(docs: DataFrame, heads: DataFrame | None = None, headed: bool = False, target: int = SETTINGS.chunk_tokens, overlap: int = SETTINGS.overlap_tokens) -> DataFrame:
     """(doc_id, chunk_id, position, text, token_count, first_line, heading).
 
-    A narrow transformation until the headings come in; each chunk takes the last heading at
-    or before its first line.
+    ``headed`` takes headings from the documents themselves, without a join; ``heads`` from a
+    table, by an as-of lookup.
     """
-    told = document_sentences(docs).where(F.size("s") > 0)
-    ranges = chunk_ranges(F.transform("s", lambda x: x["n"]), F.lit(target), F.lit(overlap))
-    cut = told.withColumn("r", ranges).select("doc_id", "s", F.posexplode("r").alias("position", "r"))
-    own = F.slice("s", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
-    text = F.array_join(F.transform(own, lambda x: x["text"]), " ")
-    out = cut.select("doc_id", F.col("position").cast("long").alias("position"), text.alias("text"), F.element_at("s", F.col("r.first") + 1)["line"].alias("first_line"))
-    out = out.select("doc_id", F.concat(F.lit("c"), F.col("position")).alias("chunk_id"), "position", "text", count_tokens(F.col("text")).cast("long").alias("token_count"), "first_line")
-    if heads is None:
-        return out.withColumn("heading", F.lit(""))
-    return nearest_heading(out, heads)
+    out = document_chunks(docs, headed, target, overlap).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
+    return out if heads is None else nearest_heading(out.drop("heading"), heads)
 
 
 def nearest_heading(chunk_rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -154,15 +174,28 @@ def nearest_heading(chunk_rows: DataFrame, heads: DataFrame) -> DataFrame:
     return chunk_rows.join(lists, "doc_id", "left").withColumn("heading", F.coalesce(found, F.lit(""))).drop("_h")
 
 
+def document_index(chunked: DataFrame) -> DataFrame:
+    """(doc_id, sentences: array of position, text, chunk_id, heading, sentence_index_in_chunk) of
+    ``document_chunks``: the sentences of the chunks without those that the previous chunk holds
+    as well, numbered through a document.  A narrow transformation."""
+    split = chunked.select("doc_id", "chunks", F.transform("chunks", lambda c: sentences(c["text"])).alias("own"))
+
+    def kept(c: Column, k: Column) -> Column:
+        before = F.get("own", k - 1)
+        told = F.transform(F.get("own", k), lambda x, i: F.struct(x.alias("text"), c["chunk_id"].alias("chunk_id"), c["heading"].alias("heading"), i.cast("long").alias("sentence_index_in_chunk")))
+        return F.when(k == 0, told).otherwise(F.filter(told, lambda x: ~F.array_contains(before, x["text"])))
+
+    flat = split.select("doc_id", F.flatten(F.transform("chunks", kept)).alias("x"))
+    numbered = F.transform("x", lambda x, i: F.struct(i.cast("long").alias("position"), x["text"].alias("text"), x["chunk_id"].alias("chunk_id"), x["heading"].alias("heading"), x["sentence_index_in_chunk"].alias("sentence_index_in_chunk")))
+    return flat.select("doc_id", numbered.alias("sentences"))
+
+
 def sentence_index(chunk_rows: DataFrame) -> DataFrame:
-    """(doc_id, position, text, chunk_id, heading, sentence_index_in_chunk): sentences of the
-    chunks without those that the previous chunk holds as well, numbered through a document."""
-    w = Window.partitionBy("doc_id").orderBy("position")
-    own = chunk_rows.withColumn("_s", sentences(F.col("text")))
-    kept = own.withColumn("_prev", F.lag("_s").over(w)).select("doc_id", F.col("position").alias("_chunk"), "chunk_id", "heading", "_prev", F.posexplode("_s").alias("i", "text"))
-    kept = kept.where(F.col("_prev").isNull() | ~F.array_contains("_prev", F.col("text")))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_chunk", "i")).cast("long") - 1
-    return kept.select("doc_id", number.alias("position"), "text", "chunk_id", "heading", F.col("i").cast("long").alias("sentence_index_in_chunk"))
+    """(doc_id, position, text, chunk_id, heading, sentence_index_in_chunk) of chunk rows: those of
+    a document are brought together once."""
+    one = F.struct("position", "chunk_id", "text", "heading")
+    chunked = chunk_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
+    return document_index(chunked).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
 
 
 def ingest_flags(docs: DataFrame) -> DataFrame:

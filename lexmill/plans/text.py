@@ -200,8 +200,7 @@ _HEADS = f"(SELECT doc_id, line_index, line FROM (SELECT *, ({_LEVEL})::BIGINT A
 
 @query("chunk_heading_asof", f"{CHUNKS} SELECT c.doc_id, chunk_id, coalesce(arg_max(h.line, h.line_index), '') AS heading FROM chunk c LEFT JOIN {_HEADS} h ON h.doc_id = c.doc_id AND h.line_index <= first_line GROUP BY c.doc_id, chunk_id")
 def chunk_heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
-    return T.chunks(docs, T.headings(docs)).select("doc_id", "chunk_id", "heading")
+    return T.chunks(_texts(spark, sf_dir), headed=True).select("doc_id", "chunk_id", "heading")
 
 
 @query(
@@ -212,7 +211,8 @@ x AS (SELECT doc_id, chunk, chunk_id, prev, unnest(ss) AS text, unnest(range(len
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, i) - 1 AS position, text, chunk_id, i AS sentence_index_in_chunk FROM x WHERE prev IS NULL OR NOT list_contains(prev, text)""",
 )
 def sentence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sentence_index(T.chunks(_texts(spark, sf_dir))).drop("heading")
+    indexed = T.document_index(T.document_chunks(_texts(spark, sf_dir)))
+    return indexed.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*").drop("heading")
 
 
 _OCR = Inline("doc_id long, ocr_confidence double", [(-11, 0.4), (-12, 0.9), (-51, 0.9), (-21, None)])

@@ -113,13 +113,32 @@ def research_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.research_queries(docs).select("doc_id", F.array_join("queries", "|").alias("queries"))
 
 
-@query("summary_sanitiser")
+SUMMARIES = Inline("id long, summary string, url1 string, url2 string", [
+    (-1, "Plants [1, 9] use light (see https://X.test/a/). Also   https://invented.test/x, [3] and [2][7].", "https://x.test/a", "https://x.test/b"),
+    (-2, "No references at all.  Two  spaces ( )", "https://x.test/a", "https://x.test/b"), (-3, None, "https://x.test/a", "https://x.test/b"), (-4, "[12] HTTPS://X.TEST/B; end", "https://x.test/a", "https://x.test/b"),
+])
+_SUMS = f"(SELECT * FROM {SUMMARIES.sql} UNION ALL SELECT page_id, 'See ' || url || '. Also https://invented.test/x and [2], [7] (https://no.test).', url, url || '/more' FROM pages)"
+_PLAIN = """lower(regexp_replace(regexp_replace({}, '[).,;:!?''"\\]]+$', ''), '/$', ''))"""
+_CORE, _END = "regexp_replace(t, '[.,;:!?]*$', '')", "regexp_extract(t, '[.,;:!?]*$')"
+_SHOWN = rf"""list_transform(regexp_extract_all(s, {text(R.REFERENCE)}), lambda t: CASE
+  WHEN starts_with(t, '[') THEN array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '[\[\]\s]', '', 'g'), ','), lambda x: x::INTEGER), lambda n: n BETWEEN 1 AND 2), lambda n: '[' || n || ']'), '')
+  WHEN {_PLAIN.format(_CORE)} = {_PLAIN.format('url2')} THEN '[2]' || {_END} WHEN {_PLAIN.format(_CORE)} = {_PLAIN.format('url1')} THEN '[1]' || {_END} ELSE {_END} END)"""
+
+
+@query(
+    "summary_sanitiser",
+    f"""WITH x AS (SELECT id, coalesce(summary, '') AS s, url1, url2 FROM {_SUMS}), y AS (SELECT id, regexp_split_to_array(s, {text(R.REFERENCE)}) AS gaps, {_SHOWN} AS shown FROM x)
+SELECT id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(shown[i], '')), ''), '[ \t]{{2,}}', ' ', 'g'), '\(\s*\)', '', 'g'), '^\s+|\s+$', '', 'g') AS text,
+len(list_filter(shown, lambda t: NOT starts_with(t, '['))) AS removed FROM y""",
+)
 def summary_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries that cite page URLs, known and unknown; the sources of each are two pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    src = F.array(F.struct(F.lit(1).alias("n"), F.col("url").alias("url")), F.struct(F.lit(2).alias("n"), F.concat("url", F.lit("/more")).alias("url")))
     body = F.concat(F.lit("See "), "url", F.lit(". Also https://invented.test/x and [2], [7] (https://no.test)."))
-    return R.sanitise_summaries(pages.select(F.col("page_id").alias("id"), body.alias("summary"), src.alias("sources")))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), body.alias("summary"), F.col("url").alias("url1"), F.concat("url", F.lit("/more")).alias("url2"))
+    rows = SUMMARIES.spark(spark).unionByName(pages)
+    sources = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"url{n}").alias("url")) for n in (1, 2)])
+    shown, removed = R.sanitise_summary(F.col("summary"), sources)
+    return rows.select("id", shown.alias("text"), removed.alias("removed"))
 
 
 TRIES = Inline("query_id long, prio long, provider string, n_results long, results string, error string", [(1, 0, "t", 0, None, "timeout"), (1, 1, "w", 2, "r1", None), (1, 2, "s", 3, "r2", None), (2, 0, "t", 1, "r3", None), (3, 0, "t", 0, None, "bad key"), (3, 1, "w", 0, None, "empty")])

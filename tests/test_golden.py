@@ -75,7 +75,7 @@ def test_citations(spark):
 
 
 def test_render_expands_once():
-    assert chat.render("{{a}} and {{ b }}", {"a": "{{b}}", "b": 2}) == "{{b}} and 2"
+    assert chat.render("{{a}} and {{ b }}", {"a": "{{b}}", "b": 2}) == "{{b}} and 2" and chat.render("<{{a}}>", {"a": None}) == "<>"
     with pytest.raises(KeyError):
         chat.render("{{a}}", {})
 
@@ -122,10 +122,11 @@ def test_durations(spark, iso, seconds):
     assert one(spark, iso, research.duration_seconds) == seconds
 
 
-def test_sanitiser():
+def test_sanitiser(spark):
     text = "Plants grow [1]. See https://real.test/b. Also https://fake.test/x and [7], [9]."
-    out, removed = research.sanitise_one(text, [(1, "https://real.test/a"), (2, "https://real.test/b/")])
-    assert out == "Plants grow [1]. See [2]. Also and , ." and removed == 3
+    row = spark.createDataFrame([(text, [(1, "https://real.test/a"), (2, "https://real.test/b/")])], "t string, s array<struct<n:int,url:string>>")
+    out, removed = research.sanitise_summary(F.col("t"), F.col("s"))
+    assert tuple(row.select(out, removed).first()) == ("Plants grow [1]. See [2]. Also and , .", 3)
 
 
 def test_pick_distinct(spark):
