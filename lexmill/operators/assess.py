@@ -187,3 +187,40 @@ def client_view(questions: DataFrame, kind: Column) -> DataFrame:
     """Questions as shown to a student: answers only in practice sets."""
     shown = kind == "practice"
     return questions.select("quiz_id", "qid", "type", "question", "options", F.when(shown, F.col("answer")).alias("answer"), F.when(shown, F.col("explanation")).alias("explanation"))
+
+
+#: What a question set may ask for.
+DIFFICULTIES, TYPES, MODES = ("easy", "medium", "hard"), ("mcq", "short", "mixed"), ("knowledge", "exam")
+
+
+def question_options(count: Column, difficulty: Column, kind: Column, mode: Column, s: Settings = SETTINGS) -> dict[str, Column]:
+    """count, difficulty, type and mode with their defaults, and error: why a request is refused.
+
+    ``count`` is text, as requests have it; it is rounded half up.
+    """
+    n = F.floor(F.coalesce(count, F.lit("5")).try_cast("double") + 0.5)
+    n = F.when(F.isnan(n), None).otherwise(n).cast("long")
+    told = {"difficulty": F.coalesce(difficulty, F.lit("medium")), "type": F.coalesce(kind, F.lit("mixed")), "mode": F.coalesce(mode, F.lit("knowledge"))}
+    error = F.when(n.isNull() | (n < 1) | (n > s.max_questions), F.lit(f"count must be an integer between 1 and {s.max_questions}"))
+    for name, allowed in (("difficulty", DIFFICULTIES), ("type", TYPES), ("mode", MODES)):
+        error = error.when(~told[name].isin(*allowed), F.lit(f"{name} must be one of: {', '.join(allowed)}"))
+    return {"count": n, **told, "error": error}
+
+
+def with_sources(questions: DataFrame, labels: DataFrame, topics: DataFrame) -> DataFrame:
+    """Questions (doc_id, qid, source) with the chunk that ``labels`` (doc_id, label, chunk_id) names
+    as their source and that chunk's topic; without one the topic is General."""
+    chunk = questions.join(labels.select("doc_id", F.col("label").alias("source"), "chunk_id"), ["doc_id", "source"], "left")
+    named = chunk.join(first_topics(topics), ["doc_id", "chunk_id"], "left")
+    return named.select("doc_id", "qid", "source", "chunk_id", "topic_id", F.coalesce("label", F.lit("General")).alias("topic_label"))
+
+
+def attempt_review(items: DataFrame, questions: DataFrame) -> DataFrame:
+    """Graded items of attempts with the answers revealed."""
+    return items.select("attempt_id", "quiz_id", "qid", "response", "score").join(questions.select("quiz_id", "qid", "ord", "answer", "explanation"), ["quiz_id", "qid"])
+
+
+def attempt_listing(attempts: DataFrame, user: str = "user_id", quiz: str = "quiz_id", created: str = "created_at") -> DataFrame:
+    """Attempts of each user and quiz with ``n``, their number from the newest on."""
+    order = Window.partitionBy(user, quiz).orderBy(F.desc(created), F.desc("attempt_id"))
+    return attempts.withColumn("n", F.row_number().over(order).cast("long"))

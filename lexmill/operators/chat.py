@@ -133,3 +133,97 @@ def key_point_prompts(topics: DataFrame, summary: DataFrame, keywords: DataFrame
     joined = topics.select("doc_id", "topic_id").join(own, ["doc_id", "topic_id"], "left").join(first, "doc_id", "left").join(words, "doc_id", "left")
     texts = F.transform(F.coalesce("own", "first"), lambda x: x["text"])
     return joined.select("doc_id", "topic_id", texts.alias("sentences"), F.transform("k", lambda x: x["term"]).alias("keywords"))
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """``render`` with columns as values: an expression of what stands around the slots and the values."""
+    parts, at = [], 0
+    for m in _SLOT.finditer(template):
+        if m[1] not in values:
+            raise KeyError(f"no value for {m[1]}")
+        parts += [F.lit(template[at : m.start()]), F.coalesce(values[m[1]].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def retrieval_note(sufficient: Column, mode: Column, reranked: Column) -> Column:
+    """What an answerer is told about its passages."""
+    close = "The excerpts match the question closely."
+    poor = "Retrieval confidence is LOW - the excerpts may not answer the question. If they do not, start your reply with the insufficient-context token."
+    exam = F.when((mode == "exam") & reranked, F.lit("Excerpts were re-ranked so the most exam-relevant come first."))
+    return F.concat_ws(" ", F.when(sufficient, close).otherwise(poor), exam)
+
+
+def topics_line(labels: Column) -> Column:
+    named = F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise("(document not analyzed yet)")
+
+
+#: What handles an intent; anything else is a question.
+HANDLERS = {"question": "answer", "doubt": "answer", "quiz": "question_set", "practice": "question_set", "research": "research", "resources": "resources"}
+
+
+def dispatched(intent: Column, error: Column) -> dict[str, Column]:
+    """intent, handler and warning of a message; a router that failed leaves a question."""
+    failed = error.isNotNull()
+    kind = F.when(failed, "question").otherwise(intent)
+    table = F.create_map(*[F.lit(x) for kv in HANDLERS.items() for x in kv])
+    warning = F.when(failed, F.concat(F.lit("intent routing failed ("), error, F.lit("); treating the message as a question")))
+    return {"intent": kind, "handler": F.coalesce(F.try_element_at(table, kind), F.lit(HANDLERS["question"])), "warning": warning}
+
+
+_POINTS = "array<struct<topic:string,key_points:array<string>,important_terms:array<string>>>"
+
+
+def key_points(replies: DataFrame, topics: DataFrame) -> DataFrame:
+    """(doc_id, ord, topic, key_points, important_terms, warnings): of the up to two ``replies``
+    (doc_id, attempt, reply) of a document the first that has one entry of text lists for each of
+    ``topics`` (doc_id, ord, label); without one, the labels with empty lists."""
+    wanted = topics.groupBy("doc_id").agg(F.count("*").alias("n"))
+    told = replies.where("attempt <= 2").join(wanted, "doc_id").withColumn("v", F.try_parse_json("reply")).withColumn("p", F.from_json("reply", _POINTS))
+    kinds = lambda x: F.schema_of_variant(x)
+    lists = F.forall("p", lambda x: x["topic"].isNotNull() & x["key_points"].isNotNull() & x["important_terms"].isNotNull() & F.forall(x["key_points"], lambda t: t.isNotNull()) & F.forall(x["important_terms"], lambda t: t.isNotNull()))
+    fine = F.coalesce(F.col("v").isNotNull() & kinds(F.col("v")).startswith("ARRAY") & (F.size("p") == F.col("n")) & lists, F.lit(False))
+    judged = told.withColumn("fine", fine)
+    first = judged.groupBy("doc_id").agg(F.min_by("p", F.when(F.col("fine"), F.col("attempt"))).alias("p"), F.min(F.when(F.col("fine"), F.col("attempt"))).alias("won"), F.array_sort(F.collect_list(F.when(~F.col("fine"), F.col("attempt")))).alias("bad"))
+    warned = F.transform(F.filter("bad", lambda a: F.col("won").isNull() | (a < F.col("won"))), lambda a: F.concat(F.lit("attempt "), a.cast("string"), F.lit(": invalid key-points shape")))
+    rows = topics.join(first, "doc_id", "left").withColumn("x", F.when(F.col("won").isNotNull(), F.get("p", F.col("ord").cast("int"))))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "doc_id", "ord", F.coalesce("x.topic", "label").alias("topic"), F.coalesce("x.key_points", none).alias("key_points"), F.coalesce("x.important_terms", none).alias("important_terms"), F.coalesce(warned, none).alias("warnings")
+    )
+
+
+def structured_result(tries: DataFrame, attempts: int = 2) -> DataFrame:
+    """(request, provider, attempt, result, fell_back): which of the tries (request, prio, provider,
+    attempt, error, valid, result) a request keeps.
+
+    Providers are asked in order, each up to ``attempts`` times; a transport error ends a provider's
+    turns, an invalid result asks it again.  The first valid result counts.
+    """
+    turns = Window.partitionBy("request", "prio").orderBy("attempt")
+    broken = F.max(F.col("error").isNotNull().cast("int")).over(turns)
+    live = tries.where(F.col("attempt") <= attempts).withColumn("_b", broken).where((F.col("_b") == 0) & F.col("valid"))
+    best = live.groupBy("request").agg(F.min(F.struct("prio", "attempt", "provider", "result")).alias("b"))
+    asked = tries.select("request").distinct()
+    return asked.join(best, "request", "left").select("request", "b.provider", "b.attempt", "b.result", F.coalesce(F.col("b.prio") > 0, F.lit(False)).alias("fell_back"))
+
+
+def search_everything(docs: DataFrame, messages: DataFrame, term: str, most_docs: int = 25, most_sessions: int = 5, limit: int = 20) -> DataFrame:
+    """(kind, doc_id, title, snippet): titles that hold a term, and messages that do.
+
+    ``docs`` is (doc_id, title, created), ``messages`` (doc_id, session, started, seq, text).  Messages
+    are those of the newest sessions of the newest documents, a fixed number of each, and of hits.
+    """
+    asked = term.strip().lower()
+    titles = docs.where(F.contains(F.lower("title"), F.lit(asked))).select(F.lit("title").alias("kind"), "doc_id", "title", F.lit(None).cast("string").alias("snippet"))
+    newest = docs.orderBy(F.desc("created"), "doc_id").limit(most_docs).select("doc_id", "title", "created")
+    sessions = messages.select("doc_id", "session", "started").distinct().join(newest, "doc_id")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("started"), "session"))
+    seen = sessions.withColumn("_s", turn).where(F.col("_s") <= most_sessions)
+    at = F.instr(F.lower("text"), asked)
+    hits = messages.drop("started").join(seen, ["doc_id", "session"]).withColumn("_at", at).where("_at > 0").orderBy(F.desc("created"), "doc_id", "_s", "seq").limit(limit)
+    begin = F.greatest(F.col("_at") - 31, F.lit(0))
+    cut = F.regexp_replace(F.substring(F.col("text"), begin + 1, F.lit(110)), r"\s+", " ")
+    shown = F.concat(F.when(begin > 0, "…").otherwise(""), cut, F.when(begin + 110 < F.length("text"), "…").otherwise(""))
+    return titles.unionByName(hits.select(F.lit("message").alias("kind"), "doc_id", "title", shown.alias("snippet")))

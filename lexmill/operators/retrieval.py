@@ -6,11 +6,18 @@ all documents (means, minima over non-matching documents) come from counts, not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.lexical import tokens
+from ..sources.scratch import staged
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -25,7 +32,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return toks.select("query_id", F.size(F.array_distinct("t")).alias("n_terms"), F.explode("t").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.first("n_terms").alias("n_terms"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+@dataclass
+class Index:
+    """An inverted index: postings (doc_id, term, tf, dl), written once, and the collection's
+    size (n, avgdl), one row."""
+
+    postings: DataFrame
+    size: DataFrame
+
+
+def build_index(docs: DataFrame) -> Index:
+    """Tokenise ``docs`` (doc_id, text) once; all scores of any number of queries read the result."""
+    post = staged(postings(docs), "postings")
+    worded = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+    count = docs.agg(F.count("*").cast("double").alias("n"))
+    return Index(post, count.crossJoin(worded).select("n", (F.col("tokens") / F.col("n")).alias("avgdl")))
+
+
+def scores(docs: DataFrame | Index, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """(query_id, doc_id, bm25, bm25_norm, cosine, coverage) of all pairs that share a term.
 
     bm25: Okapi with a floor of epsilon times the mean idf for negative idf, clipped at 0 and
@@ -33,8 +57,8 @@ def scores(docs: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataF
     the documents and the query, so n and df count the query as well; a document's norm is its
     norm without the query, corrected on the terms they share.
     """
-    post = postings(docs)
-    size = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    index = docs if isinstance(docs, Index) else build_index(docs)
+    post, size = index.postings, index.size
     df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     okapi = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     smooth = F.log((2 + F.col("n")) / (1 + F.col("df"))) + 1  # n + 1 documents with the query
@@ -62,12 +86,13 @@ def scores(docs: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataF
         (F.count("*") / F.first("n_terms")).alias("coverage"),
         F.first("n").alias("n"),
     )
-    every = Window.partitionBy("query_id")
+    # Ranges are summed up in each task; a query's pairs never meet in one.
+    span = pairs.groupBy("query_id").agg(F.count("*").alias("met"), F.min("bm25").alias("least"), F.max("bm25").alias("high"))
     cos = F.col("dot") / (F.sqrt(F.col("norm0") + F.col("shift")) * F.col("q_norm"))
-    low = F.when(F.count("*").over(every) < F.col("n"), 0.0).otherwise(F.min("bm25").over(every))
-    high = F.max("bm25").over(every)
+    low = F.when(F.col("met") < F.col("n"), 0.0).otherwise(F.col("least"))
+    high = F.col("high")
     norm = F.when(high - low < 1e-12, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((F.col("bm25") - low) / (high - low))
-    return pairs.join(norms, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", "bm25", norm.alias("bm25_norm"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("cosine"), "coverage")
+    return pairs.join(norms, "doc_id").join(q_norm.join(span, "query_id"), "query_id").select("query_id", "doc_id", "bm25", norm.alias("bm25_norm"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("cosine"), "coverage")
 
 
 def relevance(alpha: float | Column) -> Column:
@@ -78,9 +103,9 @@ def relevance(alpha: float | Column) -> Column:
 
 def candidates(pairs: DataFrame, s: Settings = SETTINGS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Pairs of positive relevance, at least min_relevance_ratio of the query's best."""
-    best = F.max("relevance").over(Window.partitionBy(*by))
-    found = pairs.where("relevance > 0").withColumn("best", best)
-    return found.where(F.col("relevance") >= s.min_relevance_ratio * F.col("best")).drop("best")
+    found = pairs.where("relevance > 0")
+    best = found.groupBy(*by).agg(F.max("relevance").alias("best"))
+    return found.join(best, list(by)).where(F.col("relevance") >= s.min_relevance_ratio * F.col("best")).drop("best")
 
 
 def ranked(pairs: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -119,13 +144,94 @@ def sufficiency(selected: DataFrame, queries: DataFrame, real_vectors: bool = Fa
     return full.withColumn("sufficient", (F.col("n_selected") > 0) & close)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): a stated query set against all vectors.
+FALLBACK = "tfidf-fallback"
+#: What keeps a query from the vectors, in the order in which it is found.
+GATES = {
+    "no_vectors": "chunks have no (or inconsistent) embeddings; using TF-IDF cosine",
+    "fallback_vectors": "stored vectors are TF-IDF fallback vectors and can't embed a query; using TF-IDF cosine",
+    "no_query_model": "query embedding model unavailable; using TF-IDF cosine",
+    "other_model": "query model does not match stored vectors; using TF-IDF cosine",
+}
+
+
+def dense_gate(docs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, gate): "dense" if the stored vectors can answer the query, else why not.
+
+    ``vectors`` is (doc_id, vector, model), ``asked`` (query_id, vector, model), the query's vector
+    null where no model embeds it.  Every document needs a vector and all vectors one length.
+    """
+    full = vectors.where(F.size("vector") > 0)
+    have = full.agg(F.count("*").alias("have"), F.min(F.size("vector")).alias("dim"), F.max(F.size("vector")).alias("dim_max"), F.max("model").alias("stored"))
+    told = asked.crossJoin(F.broadcast(have.crossJoin(docs.agg(F.count("*").alias("n")))))
+    named = F.coalesce("stored", F.lit("")) != ""
+    gate = (
+        F.when((F.col("have") < F.col("n")) | (F.col("dim") != F.col("dim_max")), "no_vectors").when(F.col("stored") == FALLBACK, "fallback_vectors")
+        .when(F.col("vector").isNull(), "no_query_model").when((F.size("vector") != F.col("dim")) | (named & (F.col("stored") != F.col("model"))), "other_model").otherwise("dense")
+    )
+    return told.select("query_id", F.coalesce(gate, F.lit("no_vectors")).alias("gate"))
+
+
+def _blocks(asked: DataFrame) -> list[DataFrame]:
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    return [asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
+#: Query vectors that meet all others at a time: a broadcast of bounded size.
+QUERY_BLOCK = 4096
 
-    The query side is a few vectors, broadcast by the planner only if its size allows.
+
+def dense_cosines(vectors: DataFrame, asked: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, cosine): a stated query set against all vectors, block by block.
+
+    Norms are taken once a vector, products as one matrix product a batch; zero norms count as
+    one, cosines are clipped to [0, 1] and rounded to 9 places.  With ``k`` each batch passes on
+    its k best for each query only (ties by doc_id), which is all that can be among the k best.
     """
-    from ..functions.lexical import cosine
+    ids, keys = vectors.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    found = []
+    for block in _blocks(asked.where("vector IS NOT NULL")):
+        rows = block.select("query_id", "vector").collect()
+        if not rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], float)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            q = q / np.where((n := np.linalg.norm(q, axis=1)) == 0, 1, n)[:, None]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                v /= np.where((n := np.linalg.norm(v, axis=1)) == 0, 1, n)[:, None]
+                cos = np.round(np.clip(q @ v.T, 0, 1), 9)
+                if k is None:
+                    row, col = np.indices(cos.shape).reshape(2, -1)
+                else:
+                    floor = np.partition(cos, -min(k, cos.shape[1]), axis=1)[:, -min(k, cos.shape[1])]
+                    row, col = np.nonzero(cos >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()]), batch.column(0).take(pa.array(col)), pa.array(cos[row, col])], ["query_id", "doc_id", "cosine"])
+
+        found.append(vectors.select("doc_id", "vector").mapInArrow(run, f"query_id {keys}, doc_id {ids}, cosine double"))
+    if not found:
+        return vectors.where("false").select(F.lit(None).cast(keys).alias("query_id"), "doc_id", F.lit(None).cast("double").alias("cosine"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def retrieve_hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, asked: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, rank, doc_id, bm25_norm, cosine, relevance, coverage, gate): BM25 and the cosine of
+    vectors for the queries that pass ``dense_gate``, BM25 and the TF-IDF cosine for the others."""
+    gates = dense_gate(docs, vectors, asked)
+    lexical = scores(docs, queries, s).join(gates, "query_id")
+    dense = dense_cosines(vectors, asked.join(gates.where("gate = 'dense'"), "query_id", "left_semi")).withColumnRenamed("cosine", "dense")
+    both = dense.join(lexical.where("gate = 'dense'").drop("cosine", "gate"), ["query_id", "doc_id"], "left")
+    # A document that shares no term with the query has no BM25 score, the least there is.
+    both = both.select("query_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bm25_norm", "coverage")], F.col("dense").alias("cosine"), F.lit("dense").alias("gate"))
+    pairs = both.unionByName(lexical.where("gate <> 'dense'").select(*both.columns)).withColumn("relevance", relevance(s.alpha))
+    return ranked(candidates(pairs, s), s.top_k_knowledge, F.desc("relevance"), F.col("doc_id"))
 
-    pairs = vectors.crossJoin(queries).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("vector"), F.col("query_vector")), 9).alias("cosine"))
-    return ranked(scored, k, F.desc("cosine"), F.col("vec_id"))
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k nearest others of a stated query set."""
+    asked = queries.select("query_id", F.col("query_vector").alias("vector"))
+    near = dense_cosines(vectors.select(F.col("vec_id").alias("doc_id"), "vector"), asked, k + 1)  # a vector is its own nearest
+    return ranked(near.withColumnRenamed("doc_id", "vec_id").where("vec_id <> query_id"), k, F.desc("cosine"), F.col("vec_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS as S
 from ..operators import assess as A
 from .catalog import query, table
+from .dialogue import with_items
 from .duck import Inline, content_stems, text
 
 #: The sources of documents as books of chunks; quality labels as importance, languages but one as topics.
@@ -124,7 +125,7 @@ def mcq_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHORTS = Inline("id long, answer string, response string", [(1, "Chlorophyll absorbs light energy for photosynthesis", "chlorophyll absorbing light energies in photosynthesis"), (2, "Chlorophyll absorbs light energy for photosynthesis", "It absorbs light"), (3, "x y", "I do not know"), (4, "the of", "the"), (5, "water", None)])
-_PAIRS = f"(SELECT id, answer, response FROM {SHORTS.sql} UNION ALL SELECT 1000 + d.doc_id, b.text, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+_PAIRS = f"(SELECT id, answer, response FROM {SHORTS.sql} UNION ALL SELECT 1000 + d.doc_id, b.text, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 _KEY, _GIVEN = f"list_distinct({content_stems('answer')})", f"list_distinct({content_stems('''coalesce(response, '')''')})"
 _SHORT = f"""WITH k AS (SELECT id, {content_stems('answer')} AS ks, {_GIVEN} AS given FROM {_PAIRS}),
 d AS (SELECT id, list_filter(ks, lambda x, i: list_position(ks, x) = i) AS key, given FROM k),
@@ -137,8 +138,7 @@ c AS (SELECT *, CASE WHEN len(key) > 0 AND len(given) > 0 THEN len(list_filter(k
 array_to_string(list_filter(key, lambda x: NOT list_contains(given, x))[1:8], ',') AS missing FROM c""",
 )
 def grade_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
-    rows = docs.join(items, F.col("item_id") == F.col("doc_id") % 40).select((F.col("doc_id") + 1000).alias("id"), "answer", F.col("text").alias("response"))
+    rows = with_items(spark, sf_dir).select((F.col("doc_id") + 1000).alias("id"), F.col("item").alias("answer"), F.col("text").alias("response"))
     told = SHORTS.spark(spark).unionByName(rows)
     g = A.grade_short(F.col("response"), F.col("answer"))
     return told.select("id", g["score"].alias("score"), g["correct"].alias("correct"), g["coverage"].alias("coverage"), F.array_join(g["missing"], ",").alias("missing"))

@@ -12,6 +12,13 @@ from ..operators import routing as R
 from .catalog import query, table
 from .duck import Inline, in_list, stem, text
 
+def with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with the text of a benchmark item, all items in turn."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(items.agg(F.count("*").alias("_n"))))
+    return docs.join(items, F.col("item_id") == F.col("doc_id") % F.col("_n")).drop("_n")
+
+
 MESSAGES = Inline("msg_id long, query string", list(enumerate((
     "quiz me on chapter two", "give me 10 practice questions", "do some research on tides", "recommend some good books", "I don't understand osmosis",
     "what is osmosis", "hello", "Test my knowledge with multiple choice", "search the web for recent studies", "resources in the document", "study resources please",
@@ -201,12 +208,11 @@ _FS = "list_distinct(list_transform(regexp_extract_all(lower({}), '[a-z0-9+.]+')
 
 @query(
     "fact_recall",
-    f"""WITH x AS (SELECT id, answer, {_FS.format('answer')} AS have, facts FROM {FACTS.sql} UNION ALL SELECT 1000 + d.doc_id, d.text, {_FS.format('d.text')}, [left(b.text, 20), b.text] FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+    f"""WITH x AS (SELECT id, answer, {_FS.format('answer')} AS have, facts FROM {FACTS.sql} UNION ALL SELECT 1000 + d.doc_id, d.text, {_FS.format('d.text')}, [left(b.text, 20), b.text] FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT id, CASE WHEN len(facts) = 0 THEN 0::DOUBLE ELSE round(len(list_filter(facts, lambda f: contains(lower(answer), lower(f)) OR (len({_FS.format('f')}) > 0 AND len(list_filter({_FS.format('f')}, lambda s: NOT list_contains(have, s))) = 0))) / len(facts)::DOUBLE, 6) END AS recall FROM x""",
 )
 def fact_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
-    pairs = docs.join(items, F.col("item_id") == F.col("doc_id") % 40).select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("answer"), F.array(F.substring("b", 1, 20), F.col("b")).alias("facts"))
+    pairs = with_items(spark, sf_dir).select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("answer"), F.array(F.substring("item", 1, 20), F.col("item")).alias("facts"))
     return FACTS.spark(spark).unionByName(pairs).select("id", F.round(E.fact_recall(F.col("answer"), F.col("facts")), 6).alias("recall"))
 
 
@@ -214,15 +220,14 @@ def _rouge(n: int) -> str:
     def grams(col: str, name: str) -> str:
         return f"{name}w AS (SELECT id, regexp_extract_all(lower({col}), '[a-z0-9]+') AS w FROM p), {name} AS (SELECT id, any_value(total) AS total, gram, count(*) AS c FROM (SELECT id, len(w) - {n - 1} AS total, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS gram FROM {name}w WHERE len(w) >= {n}) GROUP BY id, gram)"
 
-    return f"""WITH p AS (SELECT d.doc_id AS id, d.text AS c, b.text AS r FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), {grams('c', 'cg')}, {grams('r', 'rg')},
+    return f"""WITH p AS (SELECT d.doc_id AS id, d.text AS c, b.text AS r FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), {grams('c', 'cg')}, {grams('r', 'rg')},
 o AS (SELECT id, sum(least(cg.c, rg.c))::DOUBLE AS o FROM cg JOIN rg USING (id, gram) GROUP BY id), t AS (SELECT p.id, coalesce(o, 0) AS o, coalesce((SELECT any_value(total) FROM cg WHERE cg.id = p.id), 0) AS nc, coalesce((SELECT any_value(total) FROM rg WHERE rg.id = p.id), 0) AS nr FROM p LEFT JOIN o USING (id)),
 f AS (SELECT id, CASE WHEN nc > 0 THEN o / nc ELSE 0 END AS pr, CASE WHEN nr > 0 THEN o / nr ELSE 0 END AS re FROM t)
 SELECT id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM f"""
 
 
 def _rouge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("r"))
-    return table(spark, sf_dir, "documents").join(items, F.col("item_id") == F.col("doc_id") % 40).select(F.col("doc_id").alias("id"), F.col("text").alias("c"), "r")
+    return with_items(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("c"), F.col("item").alias("r"))
 
 
 @query("rouge_1", _rouge(1))

@@ -62,11 +62,11 @@ def retrieve_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "doc_id", F.round("bm25", 4).alias("bm25_score"), *[F.round(c, 4).alias(c) for c in ("bm25_norm", "cosine", "relevance")])
 
 
-@query("retrieve_tfidf_cosine", f"{PAIRS} SELECT query_id, doc_id, round(cosine, 6) AS cosine FROM pairs WHERE round(cosine, 9) > 0.2 ")
+@query("retrieve_tfidf_cosine", f"{PAIRS} SELECT query_id, doc_id, round(cosine, 6) AS cosine FROM pairs WHERE round(cosine, 9) > 0")
 def retrieve_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with a TF-IDF cosine over 0.2, statistics fitted per query."""
+    """All pairs with a positive TF-IDF cosine, statistics fitted per query."""
     pairs = R.scores(_docs(spark, sf_dir), _questions(spark, sf_dir))
-    return pairs.where(F.round("cosine", 9) > 0.2).select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"))
+    return pairs.where(F.round("cosine", 9) > 0).select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 #: Importance of a document: its quality label, halved if toxic; most have none.
@@ -139,6 +139,52 @@ def lexical_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STEMS.spark(spark).select("word", stem(F.col("word")).alias("stem"))
 
 
+#: Documents with a vector of their own number; the first items ask with one, others with what a gate stops.
+_VECS = """vd AS (SELECT doc_id, text, embedding::DOUBLE[] AS vector FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN NULL WHEN item_id % 4 = 2 THEN (e.embedding::DOUBLE[])[1:8] ELSE e.embedding::DOUBLE[] END AS vector, CASE WHEN item_id % 8 = 1 THEN 'other' ELSE 'm' END AS model FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+gates AS (SELECT query_id, CASE WHEN vector IS NULL THEN 'no_query_model' WHEN len(vector) <> 64 OR model <> 'm' THEN 'other_model' ELSE 'dense' END AS gate FROM asked)"""
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = _docs(spark, sf_dir).join(vecs.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    vectors = vecs.join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.lit("m").alias("model"))
+    items = _questions(spark, sf_dir).join(vecs, F.col("vec_id") == F.col("query_id"))
+    kind = F.col("query_id") % 4
+    vector = F.when(kind == 3, None).when(kind == 2, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    asked = items.select("query_id", vector.alias("vector"), F.when(F.col("query_id") % 8 == 1, "other").otherwise("m").alias("model"))
+    return docs, items.select("query_id", "text"), vectors, asked
+
+
+@query(
+    "retrieve_hybrid_dense",
+    f"""{PAIRS.replace('FROM documents)', 'FROM vd)', 1).replace('WITH toks', f'WITH {_VECS}, toks', 1).replace('FROM benchmark)', 'FROM benchmark SEMI JOIN asked ON query_id = item_id)', 1)},
+cosd AS (SELECT query_id, doc_id, round(greatest(0, least(1, list_cosine_similarity(v.vector, a.vector))), 9) AS dense FROM vd v, asked a JOIN gates g USING (query_id) WHERE gate = 'dense'),
+mixed AS (SELECT query_id, doc_id, coalesce(bm25_norm, 0) AS bm25_norm, dense AS cosine, 'dense' AS gate FROM cosd LEFT JOIN pairs USING (query_id, doc_id) UNION ALL SELECT query_id, doc_id, bm25_norm, cosine, gate FROM pairs JOIN gates USING (query_id) WHERE gate <> 'dense'),
+rel AS (SELECT *, round({S.alpha}::DOUBLE * bm25_norm + (1 - {S.alpha}::DOUBLE) * cosine, 9) AS relevance FROM mixed),
+cand AS (SELECT * FROM rel WHERE relevance > 0 QUALIFY relevance >= {S.min_relevance_ratio}::DOUBLE * max(relevance) OVER (PARTITION BY query_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS rank FROM cand QUALIFY rank <= {S.top_k_knowledge})
+SELECT query_id, rank, doc_id, gate, round(bm25_norm, 4) AS bm25_norm, round(cosine, 4) AS cosine, round(relevance, 4) AS relevance FROM top""",
+)
+def retrieve_hybrid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval with vectors where the gate lets a query through, else with TF-IDF."""
+    out = R.retrieve_hybrid(*_with_vectors(spark, sf_dir))
+    return out.select("query_id", "rank", "doc_id", "gate", *[F.round(c, 4).alias(c) for c in ("bm25_norm", "cosine", "relevance")])
+
+
+_GATED = duck.Inline("query_id long, gate string", [(1, "dense"), (2, "no_query_model"), (3, "other_model"), (4, "other_model")])
+
+
+@query("dense_gates", f"SELECT query_id, gate, 'all' AS stored FROM {_GATED.sql} UNION ALL SELECT query_id, 'no_vectors', 'some' FROM {_GATED.sql} UNION ALL SELECT query_id, 'fallback_vectors', 'fallback' FROM {_GATED.sql}")
+def dense_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which queries the stored vectors can answer: all there, one missing, fallback vectors."""
+    docs, asked = spark.createDataFrame([(1,), (2,)], "doc_id long"), spark.createDataFrame([(1, [1.0, 0.0], "m"), (2, None, None), (3, [1.0], "m"), (4, [0.0, 1.0], "x")], "query_id long, vector array<double>, model string")
+    vecs = spark.createDataFrame([(1, [1.0, 1.0], "m"), (2, [0.0, 0.0], "m")], "doc_id long, vector array<double>, model string")
+    cases = {"all": vecs, "some": vecs.where("doc_id = 1"), "fallback": vecs.withColumn("model", F.lit(R.FALLBACK))}
+    rows = [R.dense_gate(docs, v, asked).withColumn("stored", F.lit(name)) for name, v in cases.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     "vector_topk_cosine",
     """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS cosine

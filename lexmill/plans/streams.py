@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..streaming import chat
 from .catalog import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh place in the folder that the cluster shares; a local one only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexmill-")
-    return f"{root.rstrip('/')}/lexmill/stream-{uuid.uuid4().hex}"
-
-
 @query(
     "stream_weekly_scores",
     """SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week_start, user_id, event_type AS topic_id, round(sum(least(1, value / 100)), 6) AS earned, count(*) AS total FROM events GROUP BY ALL""",
@@ -26,7 +18,7 @@ def stream_weekly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points, summed by week; each micro-batch replaces the result table."""
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
     points = rows.select("user_id", F.col("event_type").alias("topic_id"), F.least(F.lit(1.0), F.col("value") / 100).alias("earned"), F.lit(1).alias("total"), F.col("ts").cast("timestamp").alias("ts"))
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "stream")
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result")

@@ -128,7 +128,7 @@ _SHOWN = rf"""list_transform(regexp_extract_all(s, {text(R.REFERENCE)}), lambda
 @query(
     "summary_sanitiser",
     f"""WITH x AS (SELECT id, coalesce(summary, '') AS s, url1, url2 FROM {_SUMS}), y AS (SELECT id, regexp_split_to_array(s, {text(R.REFERENCE)}) AS gaps, {_SHOWN} AS shown FROM x)
-SELECT id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(shown[i], '')), ''), '[ \t]{{2,}}', ' ', 'g'), '\(\s*\)', '', 'g'), '^\s+|\s+$', '', 'g') AS text,
+SELECT id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(shown[i], '')), ''), '[ \t]{{2,}}', ' ', 'g'), '\\(\\s*\\)', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text,
 len(list_filter(shown, lambda t: NOT starts_with(t, '['))) AS removed FROM y""",
 )
 def summary_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:

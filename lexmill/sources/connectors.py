@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Fetcher = Callable[[str], list[dict]]
@@ -64,3 +64,61 @@ def missing_from_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (system, prompt) whose key isn't in ``cache`` (key), with their key."""
     keyed = requests.withColumn("key", F.sha2(F.concat_ws("␟", "system", "prompt"), 256))
     return keyed.join(cache.select("key"), "key", "left_anti")
+
+
+def unfenced(reply: Column) -> Column:
+    """A reply without the code fence around its JSON."""
+    return F.regexp_replace(F.regexp_replace(F.trim(reply), r"(?i)^```json\s*|^```\s*", ""), r"```\s*$", "")
+
+
+def kept_try(tries: DataFrame, retries: int = 2) -> DataFrame:
+    """(request, provider, attempts, result, error): the outcome of (request, prio, provider, attempt,
+    result, error, transient) under retry with fallback.
+
+    A transient error is tried again up to ``retries`` times, any other ends the provider's turn;
+    the first provider with a result wins, its last error is told if none has one.
+    """
+    turn = Window.partitionBy("request", "prio").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.max((F.col("result").isNotNull() | ~F.col("transient")).cast("int")).over(turn)
+    made = tries.where(F.col("attempt") <= retries + 1).withColumn("_o", F.coalesce(over, F.lit(0))).where("_o = 0")
+    last = made.groupBy("request", "prio", "provider").agg(F.max("attempt").alias("attempts"), F.max_by("result", "attempt").alias("result"), F.max_by("error", "attempt").alias("error"))
+    order = F.struct(F.col("result").isNull().alias("none"), F.when(F.col("result").isNull(), -F.col("prio")).otherwise(F.col("prio")).alias("p"))
+    won = last.groupBy("request").agg(F.min_by(F.struct("provider", "attempts", "result", "error"), order).alias("b"))
+    return won.select("request", "b.*")
+
+
+def wait_seconds(attempt: Column) -> Column:
+    """Linear backoff after a failed attempt, counted from 1."""
+    return attempt * 0.5
+
+
+def videos(found: DataFrame, details: DataFrame) -> DataFrame:
+    """Search hits (query, ord, video_id) with their details (video_id, title, duration, views,
+    published); what a video doesn't tell is empty, 0 or null, hits without details go."""
+    from ..operators.research import duration_seconds
+
+    told = details.select(
+        "video_id", F.coalesce("title", F.lit("")).alias("title"), duration_seconds(F.col("duration")).alias("seconds"), F.coalesce("views", F.lit(0)).cast("long").alias("views"), "published",
+        F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("url"),
+    )
+    return found.join(told, "video_id")
+
+
+def reingested(docs: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(doc_id, text, llm_ocr_used, warning): documents (doc_id, source_type, text, needs_llm_ocr) with
+    the text of an outside extractor (doc_id, extracted, error) where theirs was poor.
+
+    Only PDFs and images are extracted again; a blank or failed extraction keeps what was there.
+    """
+    asked = F.col("needs_llm_ocr") & F.col("source_type").isin("pdf", "image")
+    both = docs.join(extracted, "doc_id", "left")
+    used = F.coalesce(asked & (F.trim("extracted") != ""), F.lit(False))
+    warning = F.when(asked & F.col("error").isNotNull(), F.concat(F.lit("LLM OCR fallback failed: "), "error"))
+    return both.select("doc_id", F.when(used, F.col("extracted")).otherwise(F.col("text")).alias("text"), used.alias("llm_ocr_used"), warning.alias("warning"))
+
+
+def ocr_confidence(words: DataFrame, by: tuple[str, ...] = ("doc_id", "page_number", "engine")) -> DataFrame:
+    """Mean confidence of an engine's words, as a share: percent values of at least 0 count; an engine
+    that gives none at all (paragraph mode) is taken at 0.7, one with only negative ones at 0."""
+    told = F.avg(F.when(F.col("conf") >= 0, F.col("conf") / 100))
+    return words.groupBy(*by).agg(F.when(F.count("conf") == 0, 0.7).otherwise(F.coalesce(told, F.lit(0.0))).alias("confidence"))

@@ -78,3 +78,16 @@ def markdown_table(df: DataFrame, places: int = 3, limit: int = 1000) -> str:
     show = lambda v: f"{v:.{places}f}" if isinstance(v, float) else "" if v is None else str(v)
     lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def prompt_templates(files: DataFrame) -> DataFrame:
+    """(name, template) of text files (path, text): those of a plain name, line ends as newlines."""
+    name = F.regexp_extract("path", r"([^/\\]+)\.txt$", 1)
+    told = files.select(name.alias("name"), F.regexp_replace("text", "\r\n", "\n").alias("template"))
+    return told.where(F.col("name").rlike("(?i)^[a-z0-9_]+$"))
+
+
+def load_prompts(spark: SparkSession, path: str) -> dict[str, str]:
+    """The templates of a folder by name; a few short files, for ``operators.chat.render``."""
+    files = read_texts(spark, f"{path.rstrip('/')}/*.txt").withColumnRenamed("doc_id", "path")
+    return {r.name: r.template for r in prompt_templates(files).collect()}
