@@ -142,7 +142,7 @@ def balanced(rows: DataFrame, label: str = "intent") -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     weights = counts.crossJoin(F.broadcast(totals)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return rows.join(F.broadcast(weights), label)  # a row a class
+    return rows.join(weights, label)
 
 
 def load_labelled(rows: DataFrame, text: str = "query", label: str = "intent", known: tuple[str, ...] = PRIORITY) -> DataFrame:
@@ -172,6 +172,7 @@ def cross_validate(rows: DataFrame, label: str, text: str, folds: int = 5) -> Da
         model = classifier(label, text).fit(balanced(rows.where(F.col("fold") != k), label))
         held = model.transform(rows.where(F.col("fold") == k).withColumn("weight", F.lit(1.0)))
         out.append((k, held.count(), float(judge.evaluate(held))))
+    rows.unpersist()
     return spark.createDataFrame(out, "fold int, n bigint, accuracy double")
 
 

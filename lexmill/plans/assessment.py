@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS as S
 from ..operators import assess as A
-from .catalog import query, table
+from .catalog import BOOK_SQL, book_of, query, table
 from .dialogue import with_items
 from .duck import Inline, content_stems, text
 
@@ -17,30 +17,30 @@ FX_IMP = Inline("doc_id string, chunk_id string, importance double", [("fx", f"c
 FX_TOPICS = Inline("doc_id string, ord long, topic_id string, label string, size long, chunk_ids array<string>", [
     ("fx", 0, "t0", "a, b", 3, ["c0", "c1", "c2"]), ("fx", 1, "t1", "c", 4, ["c3", "c4", "c5", "c6"]), ("fx", 2, "t2", "d", 2, ["c8", "c1"]),
 ])
-CHUNKS = f"(SELECT * FROM {FX_CHUNKS.sql} UNION ALL SELECT source, 'd' || doc_id, doc_id FROM documents)"
-IMP = f"(SELECT * FROM {FX_IMP.sql} UNION ALL SELECT source, 'd' || doc_id, max(quality + toxic / 4::DOUBLE) FROM documents JOIN labels USING (doc_id) GROUP BY ALL)"
-_LANGS = "(SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS ord, lang AS topic_id, 'in ' || lang AS label, count(*) AS size, list('d' || doc_id ORDER BY doc_id) AS chunk_ids FROM documents WHERE lang <> 'es' GROUP BY source, lang)"
+CHUNKS = f"(SELECT * FROM {FX_CHUNKS.sql} UNION ALL SELECT {BOOK_SQL}, 'd' || doc_id, doc_id FROM documents)"
+IMP = f"(SELECT * FROM {FX_IMP.sql} UNION ALL SELECT {BOOK_SQL}, 'd' || doc_id, max(quality + toxic / 4::DOUBLE) FROM documents JOIN labels USING (doc_id) GROUP BY ALL)"
+_LANGS = f"(SELECT book AS doc_id, row_number() OVER (PARTITION BY book ORDER BY lang) - 1 AS ord, lang AS topic_id, 'in ' || lang AS label, count(*) AS size, list('d' || doc_id ORDER BY doc_id) AS chunk_ids FROM (SELECT {BOOK_SQL} AS book, * FROM documents) WHERE lang <> 'es' GROUP BY book, lang)"
 TOPICS = f"(SELECT * FROM {FX_TOPICS.sql} UNION ALL SELECT * FROM {_LANGS})"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("doc_id").alias("position"))
+    docs = table(spark, sf_dir, "documents").select(book_of().alias("doc_id"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("doc_id").alias("position"))
     return FX_CHUNKS.spark(spark).unionByName(docs)
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    worth = rows.groupBy(F.col("source").alias("doc_id"), F.concat(F.lit("d"), "doc_id").alias("chunk_id")).agg(F.max(F.col("quality") + F.col("toxic") / 4).alias("importance"))
+    worth = rows.groupBy(book_of().alias("doc_id"), F.concat(F.lit("d"), "doc_id").alias("chunk_id")).agg(F.max(F.col("quality") + F.col("toxic") / 4).alias("importance"))
     return FX_IMP.spark(spark).unionByName(worth)
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").where("lang <> 'es'").groupBy("source", "lang").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    ord_ = (F.row_number().over(Window.partitionBy("source").orderBy("lang")) - 1).cast("long")
+    docs = table(spark, sf_dir, "documents").where("lang <> 'es'").withColumn("book", book_of()).groupBy("book", "lang").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    ord_ = (F.row_number().over(Window.partitionBy("book").orderBy("lang")) - 1).cast("long")
     names = F.transform("ids", lambda i: F.concat(F.lit("d"), i))
-    rows = docs.select(F.col("source").alias("doc_id"), ord_.alias("ord"), F.col("lang").alias("topic_id"), F.concat(F.lit("in "), "lang").alias("label"), "size", names.alias("chunk_ids"))
+    rows = docs.select(F.col("book").alias("doc_id"), ord_.alias("ord"), F.col("lang").alias("topic_id"), F.concat(F.lit("in "), "lang").alias("label"), "size", names.alias("chunk_ids"))
     return FX_TOPICS.spark(spark).unionByName(rows)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +29,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A book is what a source has in a range of ids: its size doesn't grow with the table.
+BOOK_SQL = "source || '-' || (doc_id // 1000)"
+
+
+def book_of() -> Column:
+    return F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS as S
 from ..operators import cleaning as C
 from ..operators import structure as T
-from .catalog import query, table
+from .catalog import BOOK_SQL, book_of, query, table
 from .duck import Inline, in_list, text
 
 #: Inline pages that exercise what the fixture tables lack; ids below zero.
@@ -22,12 +22,12 @@ FX = Inline("doc_id long, page long, text string", [
     (-4, 1, ""),
     (-5, 1, "tiny"),
 ])
-PAGES = f"(SELECT source AS book, doc_id AS page, text FROM documents UNION ALL SELECT 'fx' || doc_id, page, text FROM {FX.sql})"
+PAGES = f"(SELECT {BOOK_SQL} AS book, doc_id AS page, text FROM documents UNION ALL SELECT 'fx' || doc_id, page, text FROM {FX.sql})"
 TEXTS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id * 10 - page AS doc_id, text FROM {FX.sql})"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
+    docs = table(spark, sf_dir, "documents").select(book_of().alias("book"), F.col("doc_id").alias("page"), "text")
     return docs.unionByName(FX.spark(spark).select(F.concat(F.lit("fx"), "doc_id").alias("book"), "page", "text"))
 
 

@@ -9,7 +9,7 @@ from ..config import SETTINGS as S
 from ..operators import research as R
 from ..sources import connectors as K
 from ..sources import files as FS
-from .catalog import query, table
+from .catalog import BOOK_SQL, book_of, query, table
 from .duck import Inline, content_stems, text
 
 URLS = Inline("id long, url string", list(enumerate(("https://Example.org/A/", "http://x.test/a).", "ftp://x.test/", "javascript:alert(1)", "not a url", "HTTPS://x.test/B!?", "", None), -8)))
@@ -165,12 +165,12 @@ def best_ocr_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.best_ocr(OCR.spark(spark), S.ocr_good_confidence)
 
 
-_PG = "(SELECT source AS doc_id, doc_id AS page_number, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE text END AS text FROM documents)"
+_PG = f"(SELECT {BOOK_SQL} AS doc_id, doc_id AS page_number, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE text END AS text FROM documents)"
 
 
 @query("ocr_page_budget", f"SELECT doc_id, page_number, length(trim(text)) < {S.min_page_chars} AS scanned, length(trim(text)) < {S.min_page_chars} AND sum((length(trim(text)) < {S.min_page_chars})::INTEGER) OVER (PARTITION BY doc_id ORDER BY page_number) <= 10 AS uses_ocr FROM {_PG}")
 def ocr_page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
+    pages = table(spark, sf_dir, "documents").select(book_of().alias("doc_id"), F.col("doc_id").alias("page_number"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
     return K.ocr_pages(pages, 10, S.min_page_chars).select("doc_id", "page_number", "scanned", "uses_ocr")
 
 

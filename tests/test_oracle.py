@@ -35,6 +35,6 @@ def test_same_rows(spark, duck, sf, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"stratified_cv", "route_classifier", "topics_kmeans"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
