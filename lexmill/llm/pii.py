@@ -246,6 +246,12 @@ def _both(left: DataFrame, terms: DataFrame) -> DataFrame:
     return left.join(t, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").drop("_d", "_h")
 
 
+def base_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: counts of the base spans and their digest.  No shuffle."""
+    found = scan(df, id_col, text_col)
+    return found.select(F.col("doc_id").alias(id_col), *[_count(kind) for kind in PATTERNS], F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"))
+
+
 def private_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
     """One row per input row: counts of base spans, their digest, and all spans.
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import base_sql, langid
 from .decontam import find_leaks
 from .htmlcrf import extract_text
 from .lattice_lm import score
 from .licenses import license_scan
 from .media import media_columns
 from .packing import pack_documents
-from .pii import private_spans
+from .pii import base_columns, private_spans
 from .runtime import table
 from .secret_scan import secrets
 from .simhash import near_duplicates
@@ -87,3 +87,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_media")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
+
+
+@query("base_licenses", base_sql.LICENSES)
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1's contract fixes in every detail; so for the next three."""
+    return op1(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+@query("base_private", base_sql.PRIVATE)
+def base_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_columns(table(spark, sf_dir, "documents"))
+
+
+@query("base_secrets", base_sql.SECRETS)
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+@query("base_media", base_sql.MEDIA)
+def base_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
