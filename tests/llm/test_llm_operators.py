@@ -547,3 +547,130 @@ def test_gear_cuts_depend_on_nearby_bytes_only():
     assert len(parts(data) & parts(b"inserted" + data)) >= len(parts(data)) - 3
     with pytest.raises(ValueError):
         media.parse_manifest(b"nonsense")
+
+
+# 5, on pages of another layout than the generator's
+
+
+def foreign_page(r):
+    """A page with markup the training pages don't use: tables for layout, data attributes, sections
+    named in other ways; (html, texts of the article, texts of the rest)."""
+    vocab = "river stone market window letter garden winter music paper station morning bridge island number people water".split()
+    said = lambda a, b: " ".join(r.choice(vocab) for _ in range(r.randint(a, b)))
+    prose = lambda: ". ".join(said(6, 18).capitalize() for _ in range(r.randint(1, 5))) + "."
+    good, bad = [], []
+
+    def keep(text):
+        good.append(text)
+        return text
+
+    def drop(text):
+        bad.append(text)
+        return text
+
+    body = f"<h1>{keep(said(3, 8))}</h1>" + "".join(f"<p>{keep(prose())}</p>" for _ in range(r.randint(3, 8))) + f"<h2>{keep(said(2, 5))}</h2><ol>" + "".join(f"<li>{keep(prose())}" for _ in range(3)) + "</ol>"
+    links = "".join(f"<li><a href='#'>{drop(said(1, 3))}</a>" for _ in range(r.randint(4, 9)))
+    box = f"<aside><h4>{drop(said(1, 3))}</h4><ul>{''.join(f'<li><a href=x>{drop(said(2, 6))}</a></li>' for _ in range(4))}</ul></aside>"
+    talk = "<div id='discussion' class='comments-area'>" + "".join(f"<div class='comment-body'><p>{drop(prose())}</p></div>" for _ in range(3)) + "</div>"
+    consent = f"<div role='alert' class='cookies-bar'><p>{drop(prose())}</p><button>{drop(said(1, 2))}</button></div>"
+    end = f"<footer class='site-footer'><p>&copy; {drop(said(2, 5))}</p></footer>"
+    main = r.choice(("<main id=main>{}</main>", "<div class='entry-content'>{}</div>", "<table><tr><td><div itemprop='articleBody' class='article'>{}</div></table>", "<section class='post-content'><article>{}</article></section>"))
+    return f"<html lang=xx><head><meta charset=utf-8><title>{said(2, 4)}</title><body class='single'>{consent}<div class='topbar'><ul class='menu-main'>{links}</ul></div>{main.format(body)}{box}{talk}{end}", good, [b for b in bad if b]
+
+
+def test_html_of_another_layout():
+    model, rng = htmlcrf.standard_model(), random.Random(12)
+    found = wanted = right = 0
+    for _ in range(150):
+        page, good, bad = foreign_page(rng)
+        got = Counter(htmlcrf.main_text(page, model).split("\n\n"))
+        right += sum((got & Counter(" ".join(g.split()) for g in good)).values())
+        found, wanted = found + sum(got.values()), wanted + len(good)
+    print("precision", right / found, "recall", right / wanted)
+    assert right / found > 0.9 and right / wanted > 0.9
+
+
+def test_crf_gradient_and_viterbi_against_brute_force():
+    from itertools import product
+
+    pages = htmlcrf.labelled_pages(6, seed=3)
+    model = htmlcrf.train(pages, epochs=3)
+    blocks = htmlcrf.leaf_blocks(pages[0])[:9]
+    node = [[a + b for a, b in zip(model._score(x.path), model._score(htmlcrf.text_features(x, i, len(blocks))))] for i, x in enumerate(blocks)]
+    worth = lambda s: model.start[s[0]] + model.end[s[-1]] + sum(node[i][k] for i, k in enumerate(s)) + sum(model.step[a][b] for a, b in zip(s, s[1:]))
+    assert tuple(model.decode(blocks)) == max(product((0, 1), repeat=len(blocks)), key=worth)
+
+    def loss(model):
+        total = 0.0
+        for page in pages:
+            every = htmlcrf.leaf_blocks(page)
+            alpha = None
+            gold = 0.0
+            for i, x in enumerate(every):
+                e = np.add(model._score(x.path), model._score(htmlcrf.text_features(x, i, len(every))))
+                alpha = model.start + e if alpha is None else np.logaddexp(alpha[0] + np.array(model.step[0]), alpha[1] + np.array(model.step[1])) + e
+                gold += e[x.label] + (model.start[x.label] if i == 0 else model.step[every[i - 1].label][x.label])
+            total += np.logaddexp(*(alpha + model.end)) - gold - model.end[every[-1].label]
+        return total
+
+    trained = [loss(htmlcrf.train(pages, epochs=n)) for n in (1, 4, 12)]
+    assert trained[0] > trained[1] > trained[2] > 0  # likelihood rises as training goes on
+
+
+# 6 against a plain reader of runs
+
+
+def test_secret_bases_against_plain_loops():
+    rng = random.Random(5)
+    bits = ["token", "SECRET", "Api_Key", "passwd", ":", "=", " ", '"', "'", "abc", "12345678", "AKIA", "ZZ9", "deadbeef", "é", "\n", "_", "."]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def plain(text):
+        out, low, i = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), 0
+        while i < len(text):
+            word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, i)), None)
+            end = None
+            if word:
+                for quote in (1, 0):
+                    j = i + len(word)
+                    if quote and (j >= len(text) or text[j] not in "\"'"):
+                        continue
+                    j += quote
+                    while j < len(text) and text[j] == " ":
+                        j += 1
+                    if j >= len(text) or text[j] not in ":=":
+                        continue
+                    j += 1
+                    while j < len(text) and text[j] == " ":
+                        j += 1
+                    j += j < len(text) and text[j] in "\"'"
+                    k = j
+                    while k < len(text) and text[k] in value:
+                        k += 1
+                    if k > j:
+                        end = (k, k - j)
+                        break
+            if end:
+                if end[1] >= 8:
+                    out.append((i, 0, end[0]))
+                i = end[0]
+            else:
+                i += 1
+        for kind, head, more, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+            i = 0
+            while i < len(text):
+                k = i + len(head)
+                if text.startswith(head, i):
+                    while k < len(text) and text[k] in more:
+                        k += 1
+                if k > i + len(head):
+                    if k - i >= least:
+                        out.append((i, kind, k))
+                    i = k
+                else:
+                    i += 1
+        return sorted(out)
+
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) * rng.choice((1, 1, 1, 4)) for _ in range(rng.randint(0, 16)))
+        assert sorted(secret_scan.base_spans(text)) == plain(text), text
