@@ -194,11 +194,12 @@ def _unpacked(lot: bytes) -> np.ndarray:
 
 
 def _sketch(grams: np.ndarray) -> np.ndarray:
-    """One-permutation minima: the least 15-bit rank of the hashes in each of SKETCH slots, -1
-    for an empty slot.  Equal slots among those in use estimate Jaccard similarity."""
+    """One-permutation minima: seven bits of the least rank of the hashes in each of SKETCH slots,
+    -1 for an empty slot.  Equal slots among those in use estimate Jaccard similarity, never by
+    much too little: unequal ranks may agree in the bits kept, equal ones do."""
     least = np.full(SKETCH, np.iinfo(np.int64).max)
     np.minimum.at(least, grams % SKETCH, grams // SKETCH)
-    return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7FFF).astype(np.int16)
+    return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7F).astype(np.int8)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -279,7 +280,7 @@ def _possible(a: str, b: str, similarity: float) -> Column:
 
 
 def _estimate(x: bytes, y: bytes) -> float:
-    x, y = np.frombuffer(x, np.int16), np.frombuffer(y, np.int16)
+    x, y = np.frombuffer(x, np.int8), np.frombuffer(y, np.int8)
     used = (x >= 0) | (y >= 0)
     return ((x == y) & used).sum() / used.sum()
 
@@ -314,19 +315,22 @@ def similar_edges(sets: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams, sketch) of
     Jaccard ``similarity`` or more.
 
-    The members of each shared key are first compared with one of them, drawn by a hash, so a
-    cluster is tied in linear steps; then all pairs that are still in different components are.
+    Twice the members of each shared key are compared with one of them, that of the least hash,
+    which all keys of a cluster or of a common passage share, so they are tied by few pairs; then
+    all pairs that are still in different components are compared.
     """
     member, key = F.struct("node", "at"), Window.partitionBy("key")
-    drawn = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "at")
-    told = prefixes(sets, similarity).select("key", member.alias("me"), F.min(drawn).over(key).alias("head"), F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi"))
-    members = staged(told.where("lo < hi").select("key", "me", "head").distinct(), "near-keys")
-    stars = members.where("me.node <> head.node").where(_possible("me", "head", similarity))
-    tied = _alike(stars.select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b")), sets, similarity)
-    roots = components(tied)
-    rooted = members.join(roots, F.col("me.node") == F.col("node"), "left").select("key", "me", "head", F.coalesce("root", "me.node").alias("root"))
-    rooted = rooted.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo < hi AND me.node <> head.node")
-    rooted = staged(rooted.select("key", "me", "root"), "near-open")
+    told = prefixes(sets, similarity).select("key", member.alias("me"), F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi"))
+    members = staged(told.where("lo < hi").select("key", "me").distinct(), "near-keys")
+    rooted, tied = members, None
+    for draw in (0, 1):
+        head = F.min(F.struct(F.xxhash64(F.lit(draw), "me.node").alias("draw"), "me")).over(key)["me"].alias("head")
+        stars = rooted.select("me", head).where("me.node <> head.node").where(_possible("me", "head", similarity))
+        found = _alike(stars.select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b")), sets, similarity)
+        tied = tied.unionByName(found) if tied else found
+        now = members.join(components(tied), F.col("me.node") == F.col("node"), "left").select("key", "me", F.coalesce("root", "me.node").alias("root"))
+        now = now.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo < hi")
+        rooted = staged(now.select("key", "me", "root"), "near-open")
     x, y = rooted, rooted.select("key", F.col("me").alias("you"), F.col("root").alias("other"))
     rest = x.join(y, "key").where("me.node > you.node AND root <> other").where(_possible("me", "you", similarity))
     return tied.unionByName(_alike(rest.select(F.col("me.node").alias("a"), F.col("you.node").alias("b")), sets, similarity))
