@@ -34,7 +34,7 @@ _SCRIPT_OF_RANGE = np.array([_NAMES.index(s) for s in SCRIPTS])
 BITS = 18
 BUCKETS = 1 << BITS
 #: Code points handled at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
