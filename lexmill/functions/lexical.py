@@ -26,6 +26,7 @@ CONTENT_STOP = tuple(
     should will just also very more most some any than too i me my we you your he she his her our us
     """.split()
 )
+#: Suffixes in the order in which they are tried, and what a raw token is.
 SUFFIXES = ("ingly", "edly", "ing", "ed", "ly", "es")
 RAW_TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
 

@@ -146,12 +146,14 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
+#: What an answerer is told about its passages.
+NOTE_CLOSE = "The excerpts match the question closely."
+NOTE_POOR = "Retrieval confidence is LOW - the excerpts may not answer the question. If they do not, start your reply with the insufficient-context token."
+NOTE_EXAM = "Excerpts were re-ranked so the most exam-relevant come first."
+
+
 def retrieval_note(sufficient: Column, mode: Column, reranked: Column) -> Column:
-    """What an answerer is told about its passages."""
-    close = "The excerpts match the question closely."
-    poor = "Retrieval confidence is LOW - the excerpts may not answer the question. If they do not, start your reply with the insufficient-context token."
-    exam = F.when((mode == "exam") & reranked, F.lit("Excerpts were re-ranked so the most exam-relevant come first."))
-    return F.concat_ws(" ", F.when(sufficient, close).otherwise(poor), exam)
+    return F.concat_ws(" ", F.when(sufficient, NOTE_CLOSE).otherwise(NOTE_POOR), F.when((mode == "exam") & reranked, NOTE_EXAM))
 
 
 def topics_line(labels: Column) -> Column:

@@ -144,8 +144,9 @@ def sufficiency(selected: DataFrame, queries: DataFrame, real_vectors: bool = Fa
     return full.withColumn("sufficient", (F.col("n_selected") > 0) & close)
 
 
+#: Fixed value: the name of vectors that no query can be embedded with.
 FALLBACK = "tfidf-fallback"
-#: What keeps a query from the vectors, in the order in which it is found.
+#: What keeps a query from the vectors, in the order in which it is found.
 GATES = {
     "no_vectors": "chunks have no (or inconsistent) embeddings; using TF-IDF cosine",
     "fallback_vectors": "stored vectors are TF-IDF fallback vectors and can't embed a query; using TF-IDF cosine",

@@ -59,6 +59,7 @@ STRONG: dict[str, list[tuple[str, str]]] = {
         ("go_slower", r"\b(go|walk me through it) slower|over my head|lost me\b"),
     ],
 }
+#: Signs of a question that decide nothing alone.
 WEAK: list[tuple[str, str]] = [
     ("wh_start", r"^\s*(why|how|what|when|where|who|which|whose|is|are|does|do|can|could|did)\b"),
     ("explain", r"\bexplain\b"),

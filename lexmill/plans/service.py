@@ -90,13 +90,13 @@ def route_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NOTES = Inline("id long, sufficient boolean, mode string, reranked boolean, labels array<string>", [(1, True, "exam", True, ["Light", "", "Roots"]), (2, False, "exam", False, []), (3, True, "knowledge", True, None), (4, False, "exam", True, [""])])
-_NOTED = "CASE WHEN sufficient THEN 'The excerpts match the question closely.' ELSE 'Retrieval confidence is LOW - the excerpts may not answer the question. If they do not, start your reply with the insufficient-context token.' END"
+_NOTED = f"CASE WHEN sufficient THEN {text(C.NOTE_CLOSE)} ELSE {text(C.NOTE_POOR)} END"
 _NAMED = "list_filter(coalesce(labels, []), lambda x: x <> '')"
 
 
 @query(
     "retrieval_notes",
-    f"SELECT id, {_NOTED} || CASE WHEN mode = 'exam' AND reranked THEN ' Excerpts were re-ranked so the most exam-relevant come first.' ELSE '' END AS note, CASE WHEN len({_NAMED}) > 0 THEN array_to_string({_NAMED}, ', ') ELSE '(document not analyzed yet)' END AS topics FROM {NOTES.sql}",
+    f"SELECT id, {_NOTED} || CASE WHEN mode = 'exam' AND reranked THEN ' ' || {text(C.NOTE_EXAM)} ELSE '' END AS note, CASE WHEN len({_NAMED}) > 0 THEN array_to_string({_NAMED}, ', ') ELSE '(document not analyzed yet)' END AS topics FROM {NOTES.sql}",
 )
 def retrieval_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = C.retrieval_note(F.col("sufficient"), F.col("mode"), F.col("reranked"))
@@ -347,7 +347,7 @@ BRANCHES = Inline("request long, ord long, branch string, n_results long, error
 @query(
     "resource_branches",
     f"""SELECT request, coalesce(string_agg(branch, '|' ORDER BY ord) FILTER (WHERE error IS NULL AND n_results > 0), '') AS found,
-coalesce(string_agg(CASE WHEN error IS NOT NULL THEN branch || ': ' || error ELSE 'YouTube: no videos matched the 5-40 minute / title-match filters' END, '|' ORDER BY ord) FILTER (WHERE error IS NOT NULL OR (branch = 'YouTube' AND n_results = 0)), '') AS warnings FROM {BRANCHES.sql} GROUP BY request""",
+coalesce(string_agg(CASE WHEN error IS NOT NULL THEN branch || ': ' || error ELSE {text(R.NO_VIDEOS)} END, '|' ORDER BY ord) FILTER (WHERE error IS NOT NULL OR (branch = 'YouTube' AND n_results = 0)), '') AS warnings FROM {BRANCHES.sql} GROUP BY request""",
 )
 def resource_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resources(BRANCHES.spark(spark)).select("request", F.array_join("found", "|").alias("found"), F.array_join("warnings", "|").alias("warnings"))
