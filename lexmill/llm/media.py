@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import Mapper, columns_of, map_texts
-from .runtime import scratch_path, shuffle_width, staged
+from .runtime import bucketed, staged
 
 MAGIC = b"CDC1"
 #: Smallest and largest chunk in bytes; a cut needs CUT_BITS zero bits, so chunks have about
@@ -130,7 +129,6 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A null text is an empty one: a payload of UNIT zero bytes.  Repeated rows share chunks
     and manifest.  Only the two columns are read.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def listed(n: int, parts: list[bytes], digests: list[bytes]) -> list[tuple]:
@@ -145,11 +143,10 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     data = _mapped(docs, "doc_id", "text", packed, "digest binary, data binary").select("digest", "data")
     once = data.groupBy("digest").agg(F.first("data").alias("data"))
-    name = f"lexmill_chunks_{uuid.uuid4().hex}"
-    once.write.bucketBy(shuffle_width(spark), "digest").option("path", scratch_path(spark, "media-chunks")).option("compression", "none").format("parquet").saveAsTable(name)
+    chunks = bucketed(once, "media-chunks", "digest", compression="none")
     rows = places.where("seq = 0").select(F.col("doc_id").alias(id_col), "n_bytes", "media_id", "n_chunks")
     lists = staged(places.select("media_id", "seq", "digest", "length", "n_chunks").distinct(), "media-lists")
-    return MediaStore(rows, lists, spark.table(name))
+    return MediaStore(rows, lists, chunks)
 
 
 def _stored(store: MediaStore) -> DataFrame:

@@ -54,6 +54,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
+    """``staged``, dealt by ``key`` into as many buckets as a shuffle has partitions: joins on the
+    key then move the other side only."""
+    spark = df.sparkSession
+    table_name = f"lexmill_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    out = df.write.bucketBy(shuffle_width(spark), key).option("path", scratch_path(spark, name)).option("compression", compression)
+    out.format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small iterative table."""
     scratch_root(df.sparkSession)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_map import Mapper, map_texts
-from .runtime import checkpointed, staged
+from .runtime import bucketed, checkpointed, staged
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -294,7 +294,7 @@ def _jaccard(x: bytes, y: bytes) -> float:
 def _passing(pairs: DataFrame, sets: DataFrame, column: str, measure: Callable[[bytes, bytes], float], least: float) -> DataFrame:
     """The pairs (a, b) whose ``column`` has a ``measure`` of ``least`` or more; a written table."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.first(column).alias("v"))
+    one = sets.select("node", F.col(column).alias("v")).join(needed.hint("shuffle_hash"), "node", "left_semi")
     both = pairs.join(one.select(F.col("node").alias("a"), F.col("v").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("v").alias("y")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +312,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_edges(sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams, sketch) of
-    Jaccard ``similarity`` or more.
+    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams, sketch), one
+    row a node and best dealt by node, of Jaccard ``similarity`` or more.
 
     Twice the members of each shared key are compared with one of them, that of the least hash,
     which all keys of a cluster or of a common passage share, so they are tied by few pairs; then
@@ -350,7 +350,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)]  # null-safe name of a row
     row = df.select(F.struct(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2")).alias("row"), F.col(text_col).alias("text"))
     found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "also", "grams", "sketch"), "shingle-sets")
-    edges = similar_edges(found.where("id IS NOT NULL").select("node", "grams", "sketch"), similarity)
+    once = found.where("id IS NOT NULL").groupBy("node").agg(F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
+    edges = similar_edges(bucketed(once, "near-sets", "node", compression="none"), similarity)
     # A node is a distinct text, not an id: texts that share an id stay apart.  Should different
     # texts ever share the half of the digest that names the node, all but one count by themselves.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
