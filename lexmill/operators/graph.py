@@ -25,7 +25,7 @@ def similarities(w: Weights, least: float = LEAST_SIMILARITY) -> tuple[np.ndarra
     """
     order = np.argsort(w.term, kind="stable")
     by_term, term_first = w.part[order], np.searchsorted(w.term[order], np.arange(len(w.vocabulary) + 1))
-    height = max(1, _CELLS // max(w.parts, 1))
+    height = min(w.parts, max(1, _CELLS // max(w.parts, 1)))
     found = []
     for low in range(0, w.parts, height):
         i = np.arange(*np.searchsorted(w.part, (low, low + height)))
