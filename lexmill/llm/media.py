@@ -32,7 +32,7 @@ MAGIC = b"CDC1"
 #: LEAST + 2**CUT_BITS bytes.
 LEAST, MOST, CUT_BITS = 4096, 65536, 12
 #: Effort of the compression of a chunk.
-LEVEL = 3
+LEVEL = 19
 UNIT = 64
 
 
