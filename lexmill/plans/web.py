@@ -85,7 +85,7 @@ def video_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = VIDEOS.spark(spark).select("video_id", "ord", "title", F.col("published").cast("timestamp").alias("published_at"), "seconds", "views")
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("ev"), "event_id").alias("video_id"), (F.col("event_id") + 100).alias("ord"), F.concat("event_type", F.lit(" plants")).alias("title"), F.col("ts").cast("timestamp").alias("published_at"),
-        F.round(F.col("value") * 10).cast("long").alias("seconds"), F.round(F.col("value") * 1000).cast("long").alias("views"),
+        F.rint(F.col("value") * 10).cast("long").alias("seconds"), F.rint(F.col("value") * 1000).cast("long").alias("views"),  # halves to even, as a cast in SQL
     )
     return R.rank_videos(fx.unionByName(events), _ASK, _NOW)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lexmill.plans import ORACLES, QUERIES
 
@@ -25,3 +26,14 @@ def test_topics_beside_letters_beyond_ascii(spark, tmp_path):
     said = ["An\u00ea de leouaux", "\u00e9study \u00e9tude", "re\u017fearch plants", "loo\u212a into plants", "the\u00e9 light", "plants\u00a0", "\u3000plants ", "a\x0bplants", "\u0130x", "studyx study\u00e9", None]
     ours, theirs = both(spark, tmp_path, "topic_extraction", conversations=spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string"))
     assert ours == theirs
+
+
+def test_video_lengths_round_halves_to_even(spark, tmp_path):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate((84.25, 84.35, 84.05, 84.15, 240.05, 29.95, 84.0005))], "event_id long, value double")
+    events = rows.withColumn("ts", F.lit("2024-12-01 00:00:00").cast("timestamp_ntz")).withColumn("event_type", F.lit("view"))
+    ours, theirs = both(spark, tmp_path, "video_rank", events=events)
+    assert ours == theirs
+    # The length of 240.05, 2400 seconds, still fits.
+    few = rows.where("value > 200").join(events.select("event_id", "ts", "event_type"), "event_id")
+    ours, theirs = both(spark, tmp_path, "video_rank", events=few)
+    assert ours == theirs and any(r[3] == "ev4" for r in ours)
