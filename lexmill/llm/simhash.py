@@ -88,6 +88,10 @@ def links(fps: DataFrame, radius: int = 2, n_segments: int = 2, heavy: int = 64)
     ``fps`` has distinct ``fp``.  A table key with up to ``heavy`` fingerprints yields its
     verified pairs; beyond that its members are tied by ball centres (see above), which keeps
     the same components with at most one edge for each member and centre.
+
+    No join broadcasts: what is small on the wire can be far larger in the driver.  Crowded keys
+    are joined by another name of the value, so that both sides are shuffled for it and adaptive
+    execution can split a key.
     """
     if radius % 2:
         raise ValueError("an even radius is needed")
@@ -103,16 +107,17 @@ def links(fps: DataFrame, radius: int = 2, n_segments: int = 2, heavy: int = 64)
     probes = probes.select("fp", "k.seg", F.explode(F.transform(masks[F.col("k.seg")], lambda m: F.col("k.val").bitwiseXOR(m))).alias("val"))
 
     counted = entries.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    crowded = counted.where(F.col("n") > heavy).select("seg", "val")
-    light = entries.join(crowded, ["seg", "val"], "left_anti").withColumnRenamed("fp", "dst")
-    pairs = probes.join(light, ["seg", "val"]).where("fp > dst OR fp < dst").where(distance(F.col("fp"), F.col("dst")) <= radius)
+    named = F.col("val").bitwiseXOR(F.lit(1).cast("long")).alias("k")
+    crowded = counted.where(F.col("n") > heavy).select("seg", named).hint("merge")
+    light = entries.select("fp", "seg", "val", named).join(crowded, ["seg", "k"], "left_anti").select(F.col("fp").alias("dst"), "seg", "val")
+    pairs = probes.join(light.hint("merge"), ["seg", "val"]).where("fp > dst OR fp < dst").where(distance(F.col("fp"), F.col("dst")) <= radius)
     pairs = pairs.select(F.greatest("fp", "dst").alias("src"), F.least("fp", "dst").alias("dst"))
 
     # Everyone whose probe reaches a heavy key takes part in that key's centres.
-    near = probes.join(crowded, ["seg", "val"], "left_semi").select("fp").distinct()
+    near = probes.select("fp", "seg", named).join(crowded, ["seg", "k"], "left_semi").select("fp").distinct()
     centres = near.select("fp", F.explode(F.transform(F.lit(ball(64, radius // 2)), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
     least = centres.groupBy("centre").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
-    tied = centres.join(least, "centre").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
+    tied = centres.join(least.hint("merge"), "centre").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
     return pairs.unionByName(tied).distinct()
 
 
@@ -126,7 +131,7 @@ def _with_least(edges: DataFrame, own: bool) -> DataFrame:
     named = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long")).alias("k")
     low = edges.select(F.col("u").alias("w"), F.col("v").alias("p")).groupBy("w").agg(F.min("p").alias("p"))
     low = low.select(named("w"), (F.least("w", "p") if own else F.col("p")).alias("m"))
-    return edges.select("u", "v", named("u")).join(low, "k").select("u", "v", "m")
+    return edges.select("u", "v", named("u")).join(low.hint("merge"), "k").select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -162,9 +167,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = staged(fingerprints(docs, size=size), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-nodes")
     roots = components(links(nodes.select("fp"), radius, n_segments, heavy))
-    classes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    root = F.coalesce("root", "fp")
+    classes = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", "rep", root.alias("root"), root.bitwiseXOR(F.lit(1).cast("long")).alias("k"))
+    least = classes.groupBy("root").agg(F.min("rep").alias("component_id")).select(F.col("root").bitwiseXOR(F.lit(1).cast("long")).alias("k"), "component_id")
+    named = classes.join(least.hint("merge"), "k").select("fp", "component_id")
+    out = prints.join(named.hint("merge"), "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -37,3 +37,14 @@ def test_video_lengths_round_halves_to_even(spark, tmp_path):
     few = rows.where("value > 200").join(events.select("event_id", "ts", "event_type"), "event_id")
     ours, theirs = both(spark, tmp_path, "video_rank", events=few)
     assert ours == theirs and any(r[3] == "ev4" for r in ours)
+
+
+def test_simhash_broadcasts_nothing(spark, sf):
+    """However small its tables are on the wire, the driver holds none of them."""
+    from lexmill.llm import simhash
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(50)
+    fps = simhash.fingerprints(rows).select("fp").distinct()
+    for out in (simhash.near_duplicates(rows), simhash.links(fps)):
+        out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
