@@ -48,3 +48,27 @@ def test_simhash_broadcasts_nothing(spark, sf):
     for out in (simhash.near_duplicates(rows), simhash.links(fps)):
         out.collect()
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_in_python_are_those_of_the_columns(spark):
+    from collections import Counter
+
+    from lexmill.functions.lexical import tokens
+    from lexmill.operators.retrieval import counted_terms
+
+    texts = ["The plants' PROCESSES weren't ties, bus IS analysis 7 x 2020 o'clock's loudly ingly", "İstanbul looKed reſearched études cafés", "a'b can't 5's boxes classes passes yes ies dies", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t"))).collect()
+    assert [Counter(r[0] or []) for r in got] == [counted_terms(t, {}) for t in texts]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Every document shares a term with every question, yet few rows leave a task."""
+    from lexmill.operators import retrieval
+
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("light plants "), F.repeat(F.lit("water "), (F.col("id") % 7).cast("int")), F.when(F.col("id") == 2999, "roots").otherwise("")).alias("text"))
+    queries = spark.createDataFrame([(1, "light plants"), (2, "plants light roots"), (3, "light plants roots")], "query_id long, text string")
+    scorer = retrieval.Scorer(docs, queries)
+    assert scorer.pairs().count() == 9000
+    assert scorer.best(0.4, 8).count() <= 3 * 24 * 80  # ties stay
+    plan = scorer.pairs()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
