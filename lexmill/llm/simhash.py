@@ -48,7 +48,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def simhash(text: str | None, size: int = 3) -> int:
     """A bit is 1 if it is set in over half of the shingle hashes; 0 for no words."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint(shingle_hashes(text, size))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         part = np.ascontiguousarray(hashes[i : i + _BLOCK].astype(">u8"))
@@ -175,7 +178,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: prefixes of the shingle sets find every candidate, the whole sets decide.
+# Near copies by similarity: fingerprints tie most of them, prefixes of the shingle sets find every
+# other candidate, the whole sets decide on both.
 
 #: One row in SAMPLE is read for the common shingles, of which at most COMMON are told to the tasks.
 SAMPLE = 16
@@ -188,9 +192,8 @@ MARGIN = 0.2
 _LOT = 1 << 16
 
 
-def _packed(grams: set[bytes]) -> np.ndarray:
-    """The sorted distinct hashes of the shingles."""
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+def _packed(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of the shingles, as they are kept."""
     return np.unique(hashes & np.uint64((1 << 8 * WIDTH) - 1)).astype("<i8")
 
 
@@ -210,24 +213,25 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, same, also, grams, sketch): both halves of a 128-bit digest of the word sequence, the
-    sorted distinct hashes of the ``size``-word shingles and their sketch.  Copies have equal digests."""
+    """(id, same, also, fp, grams, sketch): both halves of a 128-bit digest of the word sequence, the
+    SimHash fingerprint of the ``size``-word shingles, their sorted distinct hashes and their sketch.
+    Copies have equal digests."""
 
     def setup() -> Mapper:
-        def one(text: str | None) -> tuple[int, int, bytes, bytes]:
-            words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-            grams = _packed(set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)})
-            digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-            return digest >> 64, digest & ((1 << 64) - 1), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
+        def one(text: str | None) -> tuple[int, int, int, bytes, bytes]:
+            hashes = shingle_hashes(text, size)
+            grams = _packed(hashes if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64))
+            digest = xxhash.xxh3_128_intdigest(b" ".join(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))))
+            return digest >> 64, digest & ((1 << 64) - 1), fingerprint(hashes), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
 
         def mapper(texts: list[str | None]) -> tuple[None, list]:
             found = [one(t) for t in texts]
-            halves = [np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 1)]
-            return None, [*halves, [f[2] for f in found], [f[3] for f in found]]
+            longs = [np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 1, 2)]
+            return None, [*longs, [f[3] for f in found], [f[4] for f in found]]
 
         return mapper
 
-    return map_texts(df, id_col, text_col, setup, "same long, also long, grams binary, sketch binary")
+    return map_texts(df, id_col, text_col, setup, "same long, also long, fp long, grams binary, sketch binary")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -318,26 +322,44 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return _passing(likely, sets, "grams", _jaccard, similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def fingerprint_edges(sets: DataFrame, similarity: float, radius: int = 2, n_segments: int = 2, heavy: int = 64) -> DataFrame:
+    """(src, dst): of the nodes whose fingerprints multi-index hashing links, edges of Jaccard
+    ``similarity`` or more: each node with the least of its fingerprint, these with each other."""
+    nodes = sets.select("node", "fp")
+    leads = staged(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "near-prints")
+    own = nodes.join(leads.hint("merge"), "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    named = lambda fp, lead: leads.select(F.col("fp").alias(fp), F.col("lead").alias(lead)).hint("merge")
+    linked = links(leads.select("fp"), radius, n_segments, heavy).join(named("src", "a"), "src").join(named("dst", "b"), "dst").select("a", "b")
+    pairs = own.unionByName(linked)
+    return _alike(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), sets, similarity)
+
+
 def similar_edges(sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): edges with the same components as all pairs of ``sets`` (node, grams, sketch), one
-    row a node and best dealt by node, of Jaccard ``similarity`` or more.
+    """(src, dst): edges with the same components as all pairs of ``sets`` (node, fp, grams, sketch),
+    one row a node and best dealt by node, of Jaccard ``similarity`` or more.
 
-    Twice the members of each shared key are compared with one of them, that of the least hash,
-    which all keys of a cluster or of a common passage share, so they are tied by few pairs; then
-    all pairs that are still in different components are compared.
+    First come the pairs whose fingerprints multi-index hashing links.  What they leave apart is met
+    by shared prefixes.  Twice the members of each shared key are compared with one of them, that of
+    the least hash, which all keys of a cluster or of a common passage share, so they are tied by few
+    pairs; then all pairs that are still in different components are compared.
     """
     member, key = F.struct("node", "at"), Window.partitionBy("key")
+    tied = fingerprint_edges(sets, similarity)
     told = prefixes(sets, similarity).select("key", member.alias("me"), F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi"))
     members = staged(told.where("lo < hi").select("key", "me").distinct(), "near-keys")
-    rooted, tied = members, None
-    for draw in (0, 1):
-        head = F.min(F.struct(F.xxhash64(F.lit(draw), "me.node").alias("draw"), "me")).over(key)["me"].alias("head")
-        stars = rooted.select("me", head).where("me.node <> head.node").where(_possible("me", "head", similarity))
-        found = _alike(stars.select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b")), sets, similarity)
-        tied = tied.unionByName(found) if tied else found
+
+    def still_open() -> DataFrame:
+        """Members of the keys that several components share."""
         now = members.join(components(tied), F.col("me.node") == F.col("node"), "left").select("key", "me", F.coalesce("root", "me.node").alias("root"))
         now = now.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo < hi")
-        rooted = staged(now.select("key", "me", "root"), "near-open")
+        return staged(now.select("key", "me", "root"), "near-open")
+
+    rooted = still_open()
+    for draw in (0, 1):
+        head = F.min(F.struct(F.xxhash64(F.lit(draw), "me.node").alias("draw"), "me", "root")).over(key)
+        stars = rooted.select("me", "root", head.alias("h")).where("root <> h.root").select("me", F.col("h.me").alias("head")).where(_possible("me", "head", similarity))
+        tied = tied.unionByName(_alike(stars.select(F.greatest("me.node", "head.node").alias("a"), F.least("me.node", "head.node").alias("b")), sets, similarity))
+        rooted = still_open()
     x, y = rooted, rooted.select("key", F.col("me").alias("you"), F.col("root").alias("other"))
     rest = x.join(y, "key").where("me.node > you.node AND root <> other").where(_possible("me", "you", similarity))
     return tied.unionByName(_alike(rest.select(F.col("me.node").alias("a"), F.col("you.node").alias("b")), sets, similarity))
@@ -347,8 +369,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each group of near copies, that of the smallest id; all columns as they are.
 
     Copies have the same words in the same order (case aside); near copies have a Jaccard
-    similarity of ``similarity`` or more of their ``size``-word shingles, and all are candidates
-    (see MARGIN).  Groups are closed transitively.  Null and blank texts are copies of each other.  A
+    similarity of ``similarity`` or more of their ``size``-word shingles.  SimHash fingerprints, looked up by
+    multi-index hashing, meet most of them, prefixes of the sets all others (see MARGIN).  Groups are closed transitively.  Null and blank texts are copies of each other.  A
     row with a null id stays unless a copy with an id does; of wholly repeated rows one stays.
     An empty table stays empty; columns may have any names.
     ``heavy`` is accepted for callers of old and changes nothing.
@@ -356,8 +378,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     k1, k2 = (next(n for n in (f"_k{i}" + "_" * j for j in range(len(df.columns) + 1)) if n.lower() not in {c.lower() for c in df.columns}) for i in (1, 2))
     keys = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)]  # null-safe name of a row
     row = df.select(F.struct(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2")).alias("row"), F.col(text_col).alias("text"))
-    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "also", "grams", "sketch"), "shingle-sets")
-    once = found.where("id IS NOT NULL").groupBy("node").agg(F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
+    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "also", "fp", "grams", "sketch"), "shingle-sets")
+    once = found.where("id IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
     edges = similar_edges(bucketed(once, "near-sets", "node", compression="none"), similarity)
     # A node is a distinct text, not an id: texts that share an id stay apart.  Should different
     # texts ever share the half of the digest that names the node, all but one count by themselves.

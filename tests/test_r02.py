@@ -72,3 +72,19 @@ def test_pairs_are_not_shuffled(spark):
     assert scorer.best(0.4, 8).count() <= 3 * 24 * 80  # ties stay
     plan = scorer.pairs()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_fingerprints_tie_near_copies(spark):
+    """The stage looks SimHash fingerprints up by multi-index hashing; whole sets decide on what that links."""
+    from lexmill.llm import simhash
+
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[::-1]), " ".join(words[i ^ 1] for i in range(4000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = simhash.shingle_sets(rows, "doc_id", "text", 5).withColumnRenamed("doc_id", "node")
+    assert {r.node: r.fp & (1 << 64) - 1 for r in sets.collect()} == {i: simhash.simhash(t, 5) for i, t in enumerate(texts)}
+    assert [tuple(r) for r in simhash.fingerprint_edges(sets, 0.8).collect()] == [(1, 0)]
+    # Fingerprints that are close by chance tie nothing.
+    same = sets.withColumn("fp", F.lit(7).cast("long"))
+    assert [tuple(r) for r in simhash.fingerprint_edges(same, 0.8).collect()] == [(1, 0)]
+    assert sorted(r.doc_id for r in simhash.keep_representatives(rows).collect()) == [0, 2, 3]
