@@ -88,3 +88,13 @@ def test_fingerprints_tie_near_copies(spark):
     same = sets.withColumn("fp", F.lit(7).cast("long"))
     assert [tuple(r) for r in simhash.fingerprint_edges(same, 0.8).collect()] == [(1, 0)]
     assert sorted(r.doc_id for r in simhash.keep_representatives(rows).collect()) == [0, 2, 3]
+
+
+def test_pipeline_hands_python_small_batches(spark, sf):
+    import corpus_pipeline
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.createDataFrame([(1, "a plain text", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, rows, sf).collect()] == [1]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
