@@ -25,39 +25,41 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BATCH = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """For this session; Spark asks when a result is written, so this stays set."""
+def frugal(spark: SparkSession) -> None:
+    """For this session; Spark asks when a result is written, so this stays set: small batches, and
+    shuffle files go when their query has ended, not when the driver happens to collect garbage."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled rows at hand; drop texts without a letter, without a language that leads,
     or mostly in scripts that no labelled row uses.  Null texts go."""
-    small_batches(spark)
+    frugal(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the smallest id."""
-    small_batches(spark)
+    frugal(spark)
     return keep_representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage; null and empty texts stay."""
-    small_batches(spark)
+    frugal(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data and the terms that disclose it; n_chars follows the text."""
-    small_batches(spark)
+    frugal(spark)
     return sanitise(docs, length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack what is left."""
-    small_batches(spark)
+    frugal(spark)
     return pack_documents(docs, size=1024)
 
 

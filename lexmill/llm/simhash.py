@@ -212,17 +212,33 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
     return np.where(least == np.iinfo(np.int64).max, -1, least & 0x7F).astype(np.int8)
 
 
+def _word_digest(text: str | None) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(b" ".join(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))))
+    return digest >> 64, digest & ((1 << 64) - 1)
+
+
+def word_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, same, also): both halves of a 128-bit digest of the word sequence.  Copies have equal digests."""
+
+    def setup() -> Mapper:
+        def mapper(texts: list[str | None]) -> tuple[None, list]:
+            found = [_word_digest(t) for t in texts]
+            return None, [np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 1)]
+
+        return mapper
+
+    return map_texts(df, id_col, text_col, setup, "same long, also long")
+
+
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, same, also, fp, grams, sketch): both halves of a 128-bit digest of the word sequence, the
-    SimHash fingerprint of the ``size``-word shingles, their sorted distinct hashes and their sketch.
-    Copies have equal digests."""
+    """(id, same, also, fp, grams, sketch): the digest of ``word_digests``, the SimHash fingerprint of
+    the ``size``-word shingles, their sorted distinct hashes and their sketch."""
 
     def setup() -> Mapper:
         def one(text: str | None) -> tuple[int, int, int, bytes, bytes]:
             hashes = shingle_hashes(text, size)
             grams = _packed(hashes if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64))
-            digest = xxhash.xxh3_128_intdigest(b" ".join(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))))
-            return digest >> 64, digest & ((1 << 64) - 1), fingerprint(hashes), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
+            return *_word_digest(text), fingerprint(hashes), grams.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), _sketch(grams).tobytes()
 
         def mapper(texts: list[str | None]) -> tuple[None, list]:
             found = [one(t) for t in texts]
@@ -378,8 +394,10 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     k1, k2 = (next(n for n in (f"_k{i}" + "_" * j for j in range(len(df.columns) + 1)) if n.lower() not in {c.lower() for c in df.columns}) for i in (1, 2))
     keys = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)]  # null-safe name of a row
     row = df.select(F.struct(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2")).alias("row"), F.col(text_col).alias("text"))
-    found = staged(shingle_sets(row, "row", "text", size).select("row.*", F.col("same").alias("node"), "also", "fp", "grams", "sketch"), "shingle-sets")
-    once = found.where("id IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
+    found = staged(word_digests(row, "row", "text").select("row.*", F.col("same").alias("node"), "also"), "near-rows")
+    # Sets are wide: they are kept once, dealt by node, and made from the texts again rather than written before.
+    wide = shingle_sets(row, "row", "text", size).select("row.id", F.col("same").alias("node"), "fp", "grams", "sketch")
+    once = wide.where("id IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
     edges = similar_edges(bucketed(once, "near-sets", "node", compression="none"), similarity)
     # A node is a distinct text, not an id: texts that share an id stay apart.  Should different
     # texts ever share the half of the digest that names the node, all but one count by themselves.

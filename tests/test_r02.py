@@ -98,3 +98,24 @@ def test_pipeline_hands_python_small_batches(spark, sf):
     assert [r.doc_id for r in corpus_pipeline.language(spark, rows, sf).collect()] == [1]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_near_duplicates_leave_no_shuffle_and_keep_sets_once(spark, tmp_path):
+    """Shuffle files go with their query; the wide sets are written once, dealt by node."""
+    import os
+
+    import corpus_pipeline
+    from lexmill.llm import runtime
+
+    words = [f"w{i}" for i in range(3000)]
+    rows = spark.createDataFrame([(i, " ".join(words[i % 7 :]), "en") for i in range(40)], "doc_id long, text string, lang string").repartition(3)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: local.getAllFiles().mkString("\n").count("/shuffle_")
+    before = left()
+    del runtime._WRITTEN[:]
+    corpus_pipeline.near_duplicates(spark, rows, "").write.parquet(str(tmp_path / "kept"))
+    assert left() <= before
+    wide = [p for p in runtime._WRITTEN if os.path.isdir(p) and "grams" in spark.read.parquet(p).columns]
+    assert len(wide) == 1
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == [0]
+    runtime.drop_staged(spark)
