@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from .logistic import accuracies
 
 #: Intents by priority, and the patterns that mark them.
 PRIORITY = ("quiz", "practice", "research", "resources", "doubt", "question")
@@ -166,15 +166,7 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5) -> D
 
 def cross_validate(rows: DataFrame, label: str, text: str, folds: int = 5) -> DataFrame:
     """(fold, n, accuracy): one model a fold, judged on the fold it hasn't seen."""
-    spark, out = rows.sparkSession, []
-    judge = MulticlassClassificationEvaluator(metricName="accuracy")
-    rows = rows.cache()
-    for k in range(folds):
-        model = classifier(label, text).fit(balanced(rows.where(F.col("fold") != k), label))
-        held = model.transform(rows.where(F.col("fold") == k).withColumn("weight", F.lit(1.0)))
-        out.append((k, held.count(), float(judge.evaluate(held))))
-    rows.unpersist()
-    return spark.createDataFrame(out, "fold int, n bigint, accuracy double")
+    return rows.sparkSession.createDataFrame(accuracies(rows, label, text, folds), "fold int, n bigint, accuracy double")
 
 
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -119,3 +119,20 @@ def test_near_duplicates_leave_no_shuffle_and_keep_sets_once(spark, tmp_path):
     assert len(wide) == 1
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == [0]
     runtime.drop_staged(spark)
+
+
+def test_classifier_by_rows_takes_the_steps_of_mllib(spark):
+    """Nothing of the size of the vocabulary is in the driver, yet the probabilities are those of MLlib."""
+    from lexmill.operators import logistic, routing
+
+    said = [(i, " ".join(f"w{(i * k * 7 + k) % 23}" for k in range(1, 9)) + (" Quiz me" if i % 3 == 0 else " plain it's" if i % 5 else ""), "ab"[i % 3 == 0 or i % 7 == 0]) for i in range(40)]
+    rows = spark.createDataFrame(said, "id long, query string, intent string").repartition(3)
+    model = routing.classifier().fit(routing.balanced(rows))
+    theirs = {r.id: r.probs for r in routing.probabilities(model, rows.select("id", "query")).collect()}
+    ours = {r.id: r.probs for r in logistic.probabilities(rows, "intent", "query").collect()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[i][c] - theirs[i][c]) < 1e-6 for i in ours for c in "ab")
+    # Null texts and rows without a label count as rows, the latter teach nothing.
+    odd = rows.unionByName(spark.createDataFrame([(98, None, "a"), (99, "w1 w2", None)], rows.schema))
+    assert set(ours) | {98, 99} == {r.id for r in logistic.probabilities(odd, "intent", "query").collect()}
+    out = routing.cross_validate(odd.withColumn("fold", F.col("id") % 2), "intent", "query", 2).collect()
+    assert [r.n for r in out] == [21, 21]
